@@ -152,7 +152,8 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
 
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     files = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    return files.repartition("path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # the manifest is small however large the files are: a task for each file, not for each so many bytes
+    return files.repartition(max(1, manifest.count()), "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", folder: str | None = None) -> DataFrame:
