@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankspark.llm import decontaminate, minhash, packing, quality, secrets, token_counts, token_files, toxicity
+from rankspark.llm import decontaminate, minhash, neighbours, packing, quality, secrets, suffixes, token_counts, token_files, toxicity
 from rankspark.llm.common import read_table
 
 
@@ -23,6 +23,11 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    return neighbours.neighbours(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
@@ -43,11 +48,50 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps without passages that repeat."""
+    return suffixes.without_repeats(read_table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and test item that it holds, whole or in pieces."""
     return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op2_token_files, op3_minhash, op5_token_counts, op6_packing, op7_secrets, op8_toxicity, op10_decontaminate)}
-ORACLES: dict[str, str] = {}
+    op1_quality, op2_token_files, op3_minhash, op4_neighbours, op5_token_counts, op6_packing, op7_secrets,
+    op8_toxicity, op9_suffixes, op10_decontaminate)}
+ORACLES = {
+    "op3_minhash": r"""
+with recursive texts as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+         else list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i + 2], ' '))) end as s
+  from texts),
+classes as (select doc_id, len(s) as n, min(doc_id) over (partition by list_sort(s)) as rep, s from sets),
+reps as (select doc_id, n, unnest(s) as g from classes where doc_id = rep and n > 0),
+links as (
+  select x.doc_id as a, y.doc_id as b from reps x join reps y on x.g = y.g and x.doc_id < y.doc_id
+    and 100 * x.n >= 85 * y.n and 100 * y.n >= 85 * x.n
+  group by x.doc_id, y.doc_id, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+ways as (select a, b from links union all select b, a from links),
+reach as (select distinct a as node, a as root from ways union select ways.b, reach.root from reach join ways on ways.a = reach.node),
+roots as (select node, min(root) as root from reach group by node)
+select c.doc_id, cast(c.n as bigint) as n_shingles,
+       case when c.n = 0 then c.doc_id else coalesce(r.root, c.rep) end as component_id,
+       case when c.n = 0 then true else coalesce(r.root, c.rep) = c.doc_id end as kept
+from classes c left join roots r on r.node = c.rep""",
+    "op4_neighbours": """
+with v as (
+  select vec_id, cast(embedding as double[]) as e from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id, list_cosine_similarity(q.e, c.e) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+from scored qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5""",
+}
