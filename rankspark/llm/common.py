@@ -39,9 +39,3 @@ def keep_only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     keys = ids.select(F.col("doc_id").alias("_kept_id")).distinct()
     found = docs.join(keys, docs["doc_id"] == keys["_kept_id"], "left_semi")
     return found.unionByName(docs.filter(F.col("doc_id").isNull()))
-
-
-def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in ``ids``; rows without a doc_id stay."""
-    keys = ids.select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(keys, docs["doc_id"] == keys["_gone_id"], "left_anti")

@@ -176,18 +176,23 @@ def leaks_of(text: str, items: Items, coverage: float = COVERAGE) -> list[tuple]
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED,
-          block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """A row for each document and each test item that it holds."""
-    spark, texts = docs.sparkSession, texts_of(docs)
+def _blocks(benchmark: DataFrame, block_chars: int):
+    """Blocks of test items, each a broadcast of (item_id, text) rows."""
+    spark = benchmark.sparkSession
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))
     dealt = tests.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    out = None
     for block in range(blocks):
-        rows = [(r["item_id"], r["text"]) for r in dealt.filter(F.col("block") == block).collect()]
-        shared = spark.sparkContext.broadcast(rows)
+        yield spark.sparkContext.broadcast(
+            [(r["item_id"], r["text"]) for r in dealt.filter(F.col("block") == block).collect()])
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED,
+          block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """A row for each document and each test item that it holds."""
+    texts, out = texts_of(docs), None
+    for shared in _blocks(benchmark, block_chars):
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = Items(shared.value, seed)
@@ -201,3 +206,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, see
         part = texts.mapInArrow(find, KINDS)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED,
+                  block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that hold no test item, with all their columns; nothing is shuffled."""
+    out = docs
+    for shared in _blocks(benchmark, block_chars):
+
+        def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items = Items(shared.value, seed)
+            for batch in batches:
+                clean = [not leaks_of(t or "", items, coverage) for t in batch.column("text").to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out

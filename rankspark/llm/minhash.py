@@ -7,8 +7,8 @@ that is the same for all documents, so that short documents can be compared too
 agree with the probability of the sets' similarity.
 
 1. Documents with equal sets form a class (minimum doc_id by set digest, combined before the shuffle).
-2. Registers of class representatives are cut into ``BUCKETS / ROWS`` bands.  Representatives that share a
-   band are not paired with each other but with the band's smallest one: as many pairs as rows.
+2. Registers of class representatives are cut into bands, as long as the threshold lets them be
+   (``rows_of_a_band``).  Representatives that share a band are not paired with each other but with the band's smallest one: as many pairs as rows.
 3. A pair's similarity is estimated from the share of equal registers, corrected for registers that are
    equal by chance; pairs more than ``SIGMAS`` standard errors under the threshold are dropped.
 4. What is left is confirmed on the full shingle sets.
@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from rankspark.llm.common import each_text, staged, texts_of
 from rankspark.llm.components import components
 
-BUCKETS, ROWS, MANTISSA = 320, 8, 10
-BANDS = BUCKETS // ROWS
+BUCKETS, MANTISSA = 320, 10
+MISSED = 1e-5            # most of the pairs at the threshold that may share no band
 SIGMAS = 7.5
 WORDS, PERCENT = 3, 85
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -91,12 +91,20 @@ def registers(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(filled: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of registers."""
-    words = filled.reshape(BANDS, ROWS).view(np.uint64)
-    total = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX[4]
-    for k in range(words.shape[1]):
-        total = mixed(total + words[:, k] * _MIX[k])
+def rows_of_a_band(percent: int) -> int:
+    """The most registers in a band that leave at most MISSED of the pairs at the threshold unmet."""
+    share = percent / 100
+    return max((r for r in range(1, BUCKETS + 1) if (1 - share ** r) ** (BUCKETS // r) <= MISSED), default=1)
+
+
+def bands(filled: np.ndarray, rows: int) -> np.ndarray:
+    """A 64-bit key for each band of ``rows`` registers."""
+    n = BUCKETS // rows
+    cells = np.zeros((n, -(-rows // 4) * 4), np.uint16)
+    cells[:, :rows] = filled[: n * rows].reshape(n, rows)
+    total = np.arange(1, n + 1, dtype=np.uint64) * _MIX[4]
+    for column in cells.view(np.uint64).T:
+        total = mixed((total + column) * _MIX[3])
     return total.view(np.int64)
 
 
@@ -124,15 +132,16 @@ def slack(n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
     return SIGMAS * np.sqrt(threshold * (1 - threshold) / np.maximum(seen, 1))
 
 
-def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def sketches(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, digest (low, high), bands and registers of every row."""
+    rows = rows_of_a_band(percent)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in each_text(batches):
             sets = [shingles(t, words) for t in texts]
             filled = [registers(s) for s in sets]
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-            keyed = [bands(f) if len(s) else None for s, f in zip(sets, filled)]
+            keyed = [bands(f, rows) if len(s) else None for s, f in zip(sets, filled)]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array(keys, pa.int64()), "n_shingles": pa.array(map(len, sets), pa.int64()),
                 "low": pa.array(digests[:, 0]), "high": pa.array(digests[:, 1]),
@@ -188,7 +197,7 @@ def confirmed(judged: DataFrame, texts: DataFrame, percent: int, words: int) ->
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``."""
     texts = texts_of(docs)
-    every = staged(sketches(docs, words))
+    every = staged(sketches(docs, words, percent))
     narrow = every.select("doc_id", "n_shingles", "low", "high")
     classes = (narrow.filter("doc_id is not null and n_shingles > 0").groupBy("low", "high")
                .agg(F.min("doc_id").alias("rep")))

@@ -99,20 +99,29 @@ def train(texts: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np
     return at, total[at] / len(parts)
 
 
+class _Scorer:
+    """Scores of texts by a sparse model, spread out once for a task."""
+
+    def __init__(self, model: tuple[np.ndarray, np.ndarray] | None):
+        self.dense = None if model is None else np.zeros(1 << BITS)
+        if model is not None:
+            self.dense[model[0]] = model[1]
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        if self.dense is None:
+            return np.zeros(len(texts))
+        sums = np.array([self.dense[features(t)].sum() for t in texts], float)
+        return 1 / (1 + np.exp(-np.clip(sums, -700, 700)))
+
+
 def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sparse, dense = shared.value, None
-        if sparse is not None:
-            dense = np.zeros(1 << BITS)
-            dense[sparse[0]] = sparse[1]
+        scorer = _Scorer(shared.value)
         for keys, texts in each_text(batches):
-            sums = [dense[features(t)].sum() if dense is not None else -np.inf for t in texts]
-            scores = 1 / (1 + np.exp(-np.clip(np.array(sums, float), -700, 700))) if dense is not None else np.zeros(len(keys))
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, pa.int64()), "score": pa.array(scores)})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(keys, pa.int64()), "score": pa.array(scorer(texts))})
 
     scored = texts_of(docs).mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", (crc_remainder(5) == 0).alias("held_out"), "score",
@@ -121,3 +130,15 @@ def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) ->
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return score_texts(docs, train(texts_of(docs), labels, sample))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that score below one half, with all their columns; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(texts_of(docs), labels, sample))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer([t or "" for t in batch.column("text").to_pylist()]) < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
