@@ -8,13 +8,16 @@ agree with the probability of the sets' similarity.
 
 1. Documents with equal sets form a class (minimum doc_id by set digest, combined before the shuffle).
 2. Registers of class representatives are cut into bands, as long as the threshold lets them be
-   (``rows_of_a_band``).  Representatives that share a band are not paired with each other but with the band's smallest one: as many pairs as rows.
+   (``rows_of_a_band``).  Representatives that share a band are not paired with each other but with the
+   band's most central one, which shares most bands with others: as many pairs as rows.
 3. A pair's similarity is estimated from the share of equal registers, corrected for registers that are
-   equal by chance; pairs more than ``SIGMAS`` standard errors under the threshold are dropped.
-4. What is left is confirmed on the full shingle sets.
-5. Members of a band that its smallest one does not link may still be linked among each other, or, if
-   they are near enough (Jaccard distance is a metric), to one that it does link.  Those pairs go
-   through steps 3 and 4 as well, unless a component already has both.
+   equal by chance; pairs more than ``SIGMAS`` standard errors under the threshold are no links.
+4. What is left is confirmed on the full shingle sets.  A second round does the same with those that the
+   centre of their band does not link.
+5. Two members x, y of the star of a centre p can still be linked unseen if p does not link y.  They then
+   either share shingles that p lacks, and are found by a join on the first of those (a prefix filter), or
+   share only shingles of p, which bounds the size of x by that of y's part in p, and are found by a join
+   on size classes.  Pairs that a component already has are left out; the others go through 3 and 4.
 6. Links make components; a class follows its representative.
 
 Similarity is compared as integers: 100 * intersection >= percent * union.
@@ -180,18 +183,59 @@ def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return joined.mapInPandas(judge, "a long, b long, bound double")
 
 
-def confirmed(judged: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """Pairs with their exact similarity where the estimate leaves it open, else the bound; ``linked`` tells which are links."""
-    open_pairs = judged.filter(F.col("bound") * 100 >= percent - 1e-6).select("a", "b")
-    ids = open_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = staged(shingle_sets(texts.join(ids, texts["doc_id"] == ids["id"], "left_semi"), words)
-                  .groupBy("doc_id", "members").agg(F.lit(1).alias("one")).drop("one"))
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """Pairs (a, b) with their sizes, common shingles, ``linked``, and ``extra``: the first of a's shingles
+    that b lacks, in the order of their hashes, as many as must hold one that any link of a shares."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = staged(shingle_sets(texts.join(ids, texts["doc_id"] == ids["id"], "left_semi"), words))
     side = (lambda n: sets.select(F.col("doc_id").alias(n), F.col("members").alias(f"m_{n}")))
-    both = open_pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("m_a", "m_b")).cast("long")
-    return both.select("a", "b", common.alias("common"), (F.size("m_a") + F.size("m_b") - common).alias("either")).select(
-        "a", "b", (F.col("common") / F.col("either")).alias("similarity"),
-        (100 * F.col("common") >= percent * F.col("either")).alias("linked"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.select("a", "b", F.size("m_a").cast("long").alias("n_a"), F.size("m_b").cast("long").alias("n_b"),
+                       F.array_sort(F.array_except("m_a", "m_b")).alias("extra"))
+    both = both.withColumn("common", F.col("n_a") - F.size("extra"))
+    shared = F.greatest(F.lit(1), F.ceil(F.col("n_a") * percent / 100) - F.col("common"))
+    prefix = F.greatest(F.lit(0), F.size("extra") - shared + 1).cast("int")
+    return both.select("a", "b", "n_a", "n_b", "common", _reaches(F.col("common"), percent).alias("linked"),
+                       F.slice("extra", F.lit(1), prefix).alias("extra"))
+
+
+def _reaches(common, percent: int, n_a: str = "n_a", n_b: str = "n_b"):
+    """Whether so many common shingles make a link."""
+    return (100 + percent) * common >= percent * (F.col(n_a) + F.col(n_b))
+
+
+def _stars(members: DataFrame, scores: DataFrame) -> DataFrame:
+    """(a, b, many): members of bands with the most central of each band, and the size of the largest band."""
+    ranked = members.join(scores, "doc_id")
+    heads = staged(ranked.groupBy("band").agg(
+        F.max(F.struct("score", (-F.col("doc_id")).alias("least"))).alias("top"), F.count(F.lit(1)).alias("many"))
+        .filter("many > 1").select("band", (-F.col("top.least")).alias("head"), "many"))
+    met = members.select("band", "doc_id").join(heads, "band").filter("doc_id <> head")
+    return staged(met.groupBy(F.col("doc_id").alias("a"), F.col("head").alias("b")).agg(F.max("many").alias("many")))
+
+
+def _unseen(exact: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one star that may be links though not both are linked to its centre (step 5)."""
+    odd = exact.filter(~F.col("linked")).select("b").distinct()
+    rows = exact.join(odd, "b", "left_semi").join(roots, exact["a"] == roots["node"], "left").select(
+        "b", "a", F.col("n_a").alias("n"), "common", "linked", "extra", F.coalesce("root", "a").alias("root"))
+    rows = staged(rows)
+    named = (lambda side: rows.select("b", *[F.col(c).alias(f"{c}_{side}") for c in ("a", "n", "common", "linked", "extra", "root")]))
+    x, y = named("x"), named("y").filter(~F.col("linked_y"))
+    fits = ((F.col("root_x") != F.col("root_y")) & (F.col("linked_x") | (F.col("a_x") < F.col("a_y")))
+            & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")))
+    most = F.least("common_x", "common_y")
+    # they share a shingle that the centre lacks
+    by_shingle = y.withColumn("t", F.explode("extra_y")).join(x.withColumn("t", F.explode("extra_x")), ["b", "t"]).filter(
+        fits & _reaches(most + F.least(F.col("n_x") - F.col("common_x"), F.col("n_y") - F.col("common_y")), percent, "n_x", "n_y"))
+    # or none, and what they share of the centre is enough alone
+    size_class = (lambda n: F.floor(F.log(n) * 50).cast("int"))
+    largest = F.floor(F.col("common_y") * (100 + percent) / percent).cast("long") - F.col("n_y")
+    smallest = F.ceil(F.col("n_y") * percent / 100)
+    small = y.filter(largest >= smallest).withColumn("t", F.explode(F.sequence(size_class(smallest), size_class(largest + 1))))
+    by_size = small.join(x.withColumn("t", size_class(F.col("n_x"))), ["b", "t"]).filter(fits & _reaches(most, percent, "n_x", "n_y"))
+    pair = (F.col("a_x").alias("a"), F.col("a_y").alias("b"))
+    return staged(by_shingle.select(*pair).unionByName(by_size.select(*pair)).distinct())
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -199,52 +243,36 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     texts = texts_of(docs)
     every = staged(sketches(docs, words, percent))
     narrow = every.select("doc_id", "n_shingles", "low", "high")
-    classes = (narrow.filter("doc_id is not null and n_shingles > 0").groupBy("low", "high")
-               .agg(F.min("doc_id").alias("rep")))
-    classes = staged(classes)
+    classes = staged(narrow.filter("doc_id is not null and n_shingles > 0").groupBy("low", "high")
+                     .agg(F.min("doc_id").alias("rep")))
     reps = every.join(classes.select(F.col("low").alias("l"), F.col("high").alias("h"), F.col("rep")),
                       (F.col("low") == F.col("l")) & (F.col("high") == F.col("h")) & (F.col("doc_id") == F.col("rep")), "left_semi")
     reps = staged(reps.select("doc_id", "n_shingles", "bands", "registers"))
 
-    # stars: each member of a band with the band's smallest
     rows = reps.select("doc_id", F.explode("bands").alias("band"))
-    heads = rows.groupBy("band").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    members = staged(rows.join(heads, "band").filter("doc_id <> head").select("band", "doc_id", "head", "many"))
-    stars = members.select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
-    judged = staged(estimated(stars, reps, percent))
-    exact = staged(confirmed(judged, texts, percent, words))
-    links = exact.filter("linked").select("a", "b")
-
-    # the rest of a band: those its head does not link, with each other and with linked ones near enough
-    open_rows = members.filter("many > 2").join(
-        judged.select(F.col("a").alias("doc_id"), F.col("b").alias("head"), "bound"), ["doc_id", "head"]).join(
-        exact.select(F.col("a").alias("doc_id"), F.col("b").alias("head"), "similarity", "linked"), ["doc_id", "head"], "left")
-    open_rows = open_rows.select("band", "doc_id", F.coalesce("similarity", "bound").alias("near"),
-                                 F.coalesce("linked", F.lit(False)).alias("linked"))
-    reach = percent / 100
-    odd = open_rows.filter(~F.col("linked"))
-    odd_bands = odd.select("band").distinct()
-    open_rows = staged(open_rows.join(odd_bands, "band", "left_semi"))
-    if not open_rows.isEmpty():
-        roots = components(links) if not links.isEmpty() else None
-        if roots is not None:
-            rooted = open_rows.join(roots, open_rows["doc_id"] == roots["node"], "left")
-            open_rows = staged(rooted.select("band", "doc_id", "near", "linked", F.coalesce("root", "doc_id").alias("root")))
-        else:
-            open_rows = open_rows.withColumn("root", F.col("doc_id"))
-        left = open_rows.filter(~F.col("linked")).select("band", F.col("doc_id").alias("a"), F.col("near").alias("near_a"), F.col("root").alias("root_a"))
-        right = open_rows.select("band", F.col("doc_id").alias("b"), F.col("near").alias("near_b"), F.col("linked").alias("linked_b"), F.col("root").alias("root_b"))
-        close = F.abs(F.col("near_a") - F.col("near_b")) <= 1 - reach + 1e-9
-        rest = left.join(right, "band").filter(
-            (F.col("root_a") != F.col("root_b")) & ((~F.col("linked_b") & (F.col("a") < F.col("b"))) | (F.col("linked_b") & close)))
-        rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        more = staged(confirmed(staged(estimated(rest, reps, percent)), texts, percent, words))
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    members = staged(rows.join(shared, "band").select("band", "doc_id", "many"))
+    scores = staged(members.groupBy("doc_id").agg(F.sum("many").alias("score")))
+
+    def examined(pairs: DataFrame) -> DataFrame:
+        """Pairs with their exact figures; those that the estimate rules out only if their band has others."""
+        judged = estimated(pairs, reps, percent).join(pairs, ["a", "b"]).filter(
+            (F.col("bound") * 100 >= percent - 1e-6) | (F.col("many") > 2))
+        return staged(confirmed(staged(judged.select("a", "b")), texts, percent, words))
+
+    first = examined(_stars(members, scores))
+    links = first.filter("linked").select("a", "b")
+    if not first.filter(~F.col("linked")).isEmpty():
+        left = first.filter(~F.col("linked")).select(F.col("a").alias("doc_id")).distinct()
+        second = examined(_stars(members.join(left, "doc_id", "left_semi"), scores).withColumn("many", F.lit(2)))
+        links = staged(links.unionByName(second.filter("linked").select("a", "b")))
+        more = examined(_unseen(first, components(links), percent).withColumn("many", F.lit(2)))
         links = links.unionByName(more.filter("linked").select("a", "b"))
 
     # a doc_id with several rows may be in several classes: it links their representatives
     own = narrow.filter("doc_id is not null and n_shingles > 0").join(classes, ["low", "high"]).select("doc_id", "rep")
-    links = links.unionByName(own.filter("doc_id <> rep").groupBy("doc_id").agg(
-        F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    several = own.groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least <> most")
+    links = links.unionByName(own.join(several, "doc_id").filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
     links = staged(links)
     member = classes.withColumnRenamed("rep", "member")
     out = narrow.join(member, ["low", "high"], "left")
