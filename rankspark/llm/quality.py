@@ -134,7 +134,7 @@ def train(texts: DataFrame, labels: DataFrame, sample: int = SAMPLE, models: int
     shards = max(1, min(models, labels.count() // 2_000))
     dealt = rows.select("doc_id", "label", "text", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(shards)).alias("shard"))
 
-    def learn(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def learn(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "label", "text"])
         model = fit(list(frame["text"]), list(frame["label"]), seed=int(key[0]))
         return pd.DataFrame({"shard": [key[0]], **{k: [v.astype("<f4").tobytes()] for k, v in model.items()}})

@@ -45,7 +45,7 @@ def test_all_pairs(spark, monkeypatch):
 
 def test_edge_cases(spark):
     rows = [(0, [1.0, 0.0]), (50, [0.0, 2.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]),
-            (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [1.0, 1.0]), (8, [1.0, 2.0, 3.0]), (100, [1e-30, 1e-30]), (9, [3e38, 3e38])]
+            (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [1.0, 1.0]), (8, [1.0, 2.0, 3.0]), (100, [1e-30, 3e-30]), (9, [3e38, 1e38])]
     out = neighbours.neighbours(table(spark, rows).withColumn("v", F.lit(1)).withColumn("score", F.lit("x")))
     assert out.columns == ["query_id", "rank", "vec_id", "score"] and dict(out.dtypes)["rank"] == "int"
     assert got(out) == brute(rows)
