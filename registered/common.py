@@ -279,31 +279,33 @@ _NOT_WORD = r"[^\pL\pN_]"
 
 
 def sql_location(text: str, key: str, source: str) -> str:
-    """(key, city, country, region): earliest city or country, else the first region group."""
-    rows, i = [], 0
-    for alias, city, country, region in sorted(fixed.CITY_ALIASES, key=lambda r: -len(r[0])):
-        rows.append(f"({i}, '{alias}', '{city}', '{country}', '{region}')")
-        i += 1
-    for alias, country in sorted(fixed.COUNTRY_ALIASES, key=lambda r: -len(r[0])):
-        rows.append(f"({i}, '{alias}', null, '{country}', null)")
-        i += 1
-    groups = ", ".join(
-        f"({j}, '{alias}', '{name}')" for j, (alias, name) in enumerate(fixed.REGION_ALIASES)
-    )
-    pattern = f"'(?:^|{_NOT_WORD})' || alias || '(?:$|{_NOT_WORD})'"
+    """(key, city, country, region): earliest city or country, else the first region group.
+
+    One branch for each place: its patterns are then constants, which engines compile once.
+    """
+    def named(v):
+        return "null" if v is None else f"'{v}'"
+
+    def bounded(alias):
+        return f"'(?:^|{_NOT_WORD}){alias}(?:$|{_NOT_WORD})'"
+
+    places = [(alias, city, country, region) for alias, city, country, region in sorted(fixed.CITY_ALIASES, key=lambda r: -len(r[0]))]
+    places += [(alias, None, country, None) for alias, country in sorted(fixed.COUNTRY_ALIASES, key=lambda r: -len(r[0]))]
+    spots = " union all ".join(f"""
+      select id, {i} as ord, {named(city)} as city, {named(country)} as country, {named(region)} as region,
+        case when regexp_matches(low, '^{alias}(?:$|{_NOT_WORD})') then 0
+             else len(string_split_regex(low, {bounded(alias)})[1]) + 1 end as spot
+      from src where contains(low, '{alias}') and regexp_matches(low, {bounded(alias)})"""
+                               for i, (alias, city, country, region) in enumerate(places))
+    groups = " union all ".join(
+        f"select id, {j} as ord, '{name}' as region from src where contains(low, '{alias}') and regexp_matches(low, {bounded(alias)})"
+        for j, (alias, name) in enumerate(fixed.REGION_ALIASES))
     return f"""
-    with places(ord, alias, city, country, region) as (values {', '.join(rows)}),
-    groups(ord, alias, region) as (values {groups}),
-    src as (select {key} as id, lower(coalesce({text}, '')) as low from {source}),
-    spots as (
-      select id, ord, city, country, region,
-        case when regexp_matches(low, '^' || alias || '(?:$|{_NOT_WORD})') then 0
-             else len(string_split_regex(low, {pattern})[1]) + 1 end as at
-      from src join places on contains(low, alias) and regexp_matches(low, {pattern})),
+    with src as (select {key} as id, lower(coalesce({text}, '')) as low from {source}),
+    spots as ({spots}),
     best as (select id, arg_min({{'city': city, 'country': country, 'region': region}},
-                                {{'at': at, 'ord': ord}}) as p from spots group by id),
-    fallback as (select id, arg_min(region, ord) as region from src join groups
-                 on regexp_matches(low, {pattern}) group by id)
+                                {{'spot': spot, 'ord': ord}}) as p from spots group by id),
+    fallback as (select id, arg_min(region, ord) as region from ({groups}) group by id)
     select src.id, best.p.city as city, best.p.country as country,
            case when best.id is not null then best.p.region else fallback.region end as region
     from src left join best using (id) left join fallback using (id)"""

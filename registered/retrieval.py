@@ -207,12 +207,12 @@ def sql_embedding(source: str, dims: int = 384, name: str = "emb") -> str:
 
 
 @query("hash_embed", f"""with {c.DOC_TOKENS}, {sql_embedding('dt')}
-select id, bucket, round(value, 5) as value from emb where round(value, 5) <> 0""")
+select id, bucket, round(value, 6) as value from emb where round(value, 6) <> 0""")
 def hash_embed(spark, d):
     texts = c.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    embedded = embedding.hash_embedder(c.SAMPLE, digest="md5")(texts)
+    embedded = embedding.hash_embedder(c.SAMPLE, digest="md5", value_type="double")(texts)
     rows = embedded.select("id", F.posexplode("embedding").alias("bucket", "v"))
-    value = F.round(F.col("v").cast("double"), 5)
+    value = F.round(F.col("v"), 6)
     return c.flat(rows.select("id", "bucket", value.alias("value")).where(F.col("value") != 0))
 
 

@@ -140,13 +140,13 @@ fused as (select query_id, id, round(sum(1.0::double / (60 + rank)), 8) as fused
 norm as (select *, count(*) over w as total, row_number() over (partition by query_id order by fused desc, id) as fused_rank,
   case when max(fused) over w = min(fused) over w then 1.0 else (fused - min(fused) over w) / (max(fused) over w - min(fused) over w) end as normalized
   from fused window w as (partition by query_id)),
-scored as (select norm.*, round(0.55 * round(normalized, 4) + 0.17 * case when family is null then 0.5 else 0 end + 0.15 * 0.5 + 0.13 * 0.5, 6) as score
+reranked as (select norm.*, round(0.55 * round(normalized, 4) + 0.17 * case when family is null then 0.5 else 0 end + 0.15 * 0.5 + 0.13 * 0.5, 6) as score
   from norm join qraw using (query_id) where fused_rank <= 60)"""
 
 
 @query("hybrid_search", _HYBRID_SQL + """
 select query_id, id, rank, score, fused, lexical_rank, vector_rank, total from (
-  select *, row_number() over (partition by query_id order by score desc, id) as rank from scored) where rank <= 20""")
+  select *, row_number() over (partition by query_id order by score desc, id) as rank from reranked) where rank <= 20""")
 def hybrid_search(spark, d):
     """The flagship: all benchmark passages searched in all documents."""
     results = search(bench_queries(spark, d), document_profiles(spark, d), ENGINE)

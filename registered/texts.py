@@ -57,9 +57,9 @@ l as (select *, list_transform(words, lambda x: trim(lower(x), '.,;:()')) as low
 p as (select *, coalesce(
   list_position(list_transform(low, lambda x: contains(x, 'zzz')), true),
   list_position(list_transform(low, lambda x: contains(x, 'the')), true),
-  list_position(list_transform(low, lambda x: contains(x, 'tion')), true)) as at from l)
-select doc_id, case when at is null then array_to_string(words[1:24], ' ')
-  else '…' || array_to_string(words[greatest(1, at - 4):least(len(words), at + 27)], ' ') || '…' end as snippet
+  list_position(list_transform(low, lambda x: contains(x, 'tion')), true)) as spot from l)
+select doc_id, case when spot is null then array_to_string(words[1:24], ' ')
+  else '…' || array_to_string(words[greatest(1, spot - 4):least(len(words), spot + 27)], ' ') || '…' end as snippet
 from p""")
 def snippet(spark, d):
     docs = c.table(spark, d, "documents")
