@@ -123,13 +123,19 @@ def bench_queries(spark, d):
         F.col("item_id").alias("query_id"), F.col("text").alias("raw_query"))
 
 
+_SAMPLE_RELATED = ", ".join(
+    f"{{'name': '{s.canonical}', 'rel': [{c.quoted_list(s.related)}]::varchar[]}}" for s in c.SAMPLE.skills)
+
 _HYBRID_SQL = f"""
-with qraw as (select item_id as query_id, text as raw, {c.sql_first_class('lower(text)', fixed.TITLE_FAMILIES)} as family from benchmark),
+with named as (select item_id as query_id, text as raw, {c.sql_first_class('lower(text)', fixed.TITLE_FAMILIES)} as family,
+  {c.sql_extract('text', c.SAMPLE, 8)} as found from benchmark),
+qraw as (select query_id, raw, family, found, array_to_string(list_filter(flatten(list_transform(found, lambda n:
+  list_filter([{_SAMPLE_RELATED}], lambda r: r.name = n)[1].rel)), lambda y: not list_contains(found, y)), ' ') as expansions from named),
 free as ({c.sql_terms('raw', 'query_id', 'qraw', stop=c.FILLER)}),
 qterms as (select query_id, list_filter(terms, lambda x: not list_contains({c.STOP}, x)) as terms from free),
 qt as (select query_id, unnest(terms) as term, generate_subscripts(terms, 1) as pos from qterms),
 {c.DOC_TOKENS}, {c.BM25.split(c.DOC_TOKENS + ',')[1]},
-vd as (select id, toks from dt), vq as (select query_id as id, {c.sql_tokens('raw')} as toks from qraw),
+vd as (select id, toks from dt), vq as (select query_id as id, {c.sql_tokens("raw || ' ' || expansions")} as toks from qraw),
 {sql_embedding('vd', name='de')}, {sql_embedding('vq', name='qe')},
 sims as (select q.id as query_id, p.id, round(sum(q.value * p.value), 6) as score from qe q join de p using (bucket) group by q.id, p.id),
 allsims as (select query_id, vd.id, coalesce(score, 0) as score from qraw cross join vd left join sims using (query_id, id)),
@@ -140,7 +146,7 @@ fused as (select query_id, id, round(sum(1.0::double / (60 + rank)), 8) as fused
 norm as (select *, count(*) over w as total, row_number() over (partition by query_id order by fused desc, id) as fused_rank,
   case when max(fused) over w = min(fused) over w then 1.0 else (fused - min(fused) over w) / (max(fused) over w - min(fused) over w) end as normalized
   from fused window w as (partition by query_id)),
-reranked as (select norm.*, round(0.55 * round(normalized, 4) + 0.17 * case when family is null then 0.5 else 0 end + 0.15 * 0.5 + 0.13 * 0.5, 6) as score
+reranked as (select norm.*, round(0.55 * round(normalized, 4) + 0.17 * case when family is null then 0.5 else 0 end + 0.15 * case when len(found) > 0 then 0 else 0.5 end + 0.13 * 0.5, 6) as score
   from norm join qraw using (query_id) where fused_rank <= 60)"""
 
 
@@ -181,7 +187,7 @@ def passage_grades_q(spark, d):
 
 
 @query("benchmark_strategies", _HYBRID_SQL + f""", {_GRADES_SQL},
-deep as (select norm.*, round(0.55 * round(normalized, 4) + 0.17 * case when family is null then 0.5 else 0 end + 0.15 * 0.5 + 0.13 * 0.5, 6) as score
+deep as (select norm.*, round(0.55 * round(normalized, 4) + 0.17 * case when family is null then 0.5 else 0 end + 0.15 * case when len(found) > 0 then 0 else 0.5 end + 0.13 * 0.5, 6) as score
   from norm join qraw using (query_id) where fused_rank <= 150),
 ranked as (select 'lexical' as strategy, query_id, id, rank from bm25 union all select 'vector', query_id, id, rank from vec union all
   select 'hybrid', query_id, id, fused_rank from norm where fused_rank <= 50 union all

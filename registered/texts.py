@@ -283,7 +283,7 @@ b as (select *, left(lines[1], 160) as full_name, left(list_filter(lines[2:6], l
 e as (select *, ' ' || lower(coalesce(headline, full_name, '')) || ' ' as padded from b)
 select e.id, case when len(t) < 30 then 'too short' when len(skills) = 0 then 'no skills' end as reject_reason,
   full_name, headline, {c.sql_first_class('padded', fixed.SENIORITY_LEVELS)} as seniority,
-  coalesce({c.sql_years('t')}, least(greatest(2026 - list_min(years_found), 0), 40)::double) as years,
+  coalesce({c.sql_years('t')}, case when len(years_found) > 0 then least(greatest(2026 - list_min(years_found), 0), 40)::double end) as years,
   case when loc.city is not null or loc.country is not null or loc.region is not null then coalesce(loc.city, 'Unknown') end as city,
   case when loc.city is not null or loc.country is not null or loc.region is not null then coalesce(loc.country, 'Unknown') end as country,
   loc.region as region, {c.sql_first_class('lower(t)', fixed.DOMAINS)} as industry,
