@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 # A side is broadcast only if its rows were counted and are at most this many.
 BROADCAST_ROWS = 50_000
-# How often the small side is repeated when a join has to be shuffled.
-SALTS = 32
+# How often the small side is repeated at least when a join has to be shuffled.
+LEAST_SALTS = 32
 
 
 def rows_at_most(frame: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -35,17 +35,21 @@ def lookup_join(
     small_is_bounded: bool,
     how: str = "inner",
     spread_by: str = "id",
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Equi-join of a big side, whose keys may be skewed, with a smaller side.
 
     A counted, bounded small side is broadcast: the big side is not shuffled at all.  Otherwise
     both sides are shuffled on the key and a salt, so that even a key owning a third of the
-    big side is spread over ``salts`` tasks.  The result is the same either way.
+    big side is spread over ``salts`` tasks - by default as many as a shuffle has partitions, so
+    that it grows with the cluster's settings.  The result is the same either way.
     """
     on = list(on)
     if small_is_bounded:
         return big.join(F.broadcast(small), on, how)
+    if salts is None:
+        partitions = big.sparkSession.conf.get("spark.sql.shuffle.partitions")
+        salts = max(LEAST_SALTS, int(partitions))
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
@@ -62,6 +66,7 @@ def scope_of(frame: DataFrame, key: str) -> Column:
     return F.substring(F.col(key).cast("string"), 1, 0).alias("scope")
 
 
-def late_join(ids: DataFrame, big: DataFrame, on: str, ids_are_bounded: bool) -> DataFrame:
-    """Fetch the few rows of ``big`` named by ``ids``; ``ids`` is broadcast only when bounded."""
-    return (F.broadcast(ids) if ids_are_bounded else ids).join(big, on)
+def late_join(ids: DataFrame, big: DataFrame, on: str) -> DataFrame:
+    """Fetch the rows of ``big`` named by ``ids``.  Their number is a multiple of the queries', which
+    nobody has counted, so whether to broadcast them is left to the engine, which sees their size."""
+    return ids.join(big, on)

@@ -72,3 +72,9 @@ def event_windows(
         .agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("sum_value"))
         .select(F.col("w.start").alias("window_start"), *by, "n_events", "sum_value")
     )
+
+
+def newest_windows(batches: DataFrame, by: tuple[str, ...] = ("event_type",)) -> DataFrame:
+    """The last written row of each window, from the batches of a stream in update mode."""
+    last = F.max_by(F.struct("n_events", "sum_value"), "batch").alias("last")
+    return batches.groupBy("window_start", *by).agg(last).select("window_start", *by, "last.*")

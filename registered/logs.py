@@ -172,19 +172,23 @@ def vector_upsert(spark, d):
 @query("stream_event_windows", """
 select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n_events, round(sum(value), 4) as sum_value from events group by 1, 2""")
 def stream_event_windows(spark, d):
-    """The stream runs over all files and rewrites its result table in every batch."""
+    """Update mode: a batch writes the windows that it changed, the newest row of a window counts.
+
+    Windows older than the watermark leave the state, so that it does not grow with the stream.
+    """
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     path = scratch_dir(spark)
     out = os.path.join(path, "windows")
     running = (
-        jobs.event_windows(events).writeStream.outputMode("complete")
-        .foreachBatch(lambda frame, n: frame.write.mode("overwrite").parquet(out))
+        jobs.event_windows(events).writeStream.outputMode("update")
+        .foreachBatch(lambda frame, n: frame.write.mode("overwrite").parquet(f"{out}/batch={n}"))
         .option("checkpointLocation", os.path.join(path, "checkpoint"))
         .trigger(availableNow=True).start()
     )
     running.awaitTermination()
-    return spark.read.parquet(out).select(
+    newest = jobs.newest_windows(spark.read.parquet(out))
+    return newest.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type",
         "n_events", F.round("sum_value", 4).alias("sum_value"))
 

@@ -8,6 +8,7 @@ from rankspark.operators import embedding, evidence, lexical, metrics, vector
 from rankspark.plans import ingest, jobs
 from rankspark.plans.parse import parse_jobs
 from rankspark.plans.search import Engine, as_profiles, rank_strategies, search
+from rankspark.session import written
 
 from . import common as c
 from .profiles import asked
@@ -252,10 +253,11 @@ def why_evidence(spark, d):
 
 # --- people: parsed texts as profiles -----------------------------------------------------------
 def people_profiles(spark, d):
+    """Parsed once and written: a search uses the pool several times."""
     parsed = ingest.parse_profiles(c.people_texts(spark, d), c.SAMPLE)
-    return ingest.accepted(parsed).select(
+    return written(ingest.accepted(parsed).select(
         "id", "text", "headline", "seniority", "years", "city", "country", "region", "industry",
-        "mentions", "embedding_text")
+        "mentions", "embedding_text"))
 
 
 @query("search_people")

@@ -166,7 +166,7 @@ def dict_extract(spark, d):
 
 _PADDED = "' ' || lower(title) || ' '"
 _TITLES_SQL = f"""titles as (select c_custkey as id, {c.sql_pick(c.HEADLINES, 'c_custkey')} as title from customer
-  union all select -1 - doc_id, left(text, 80) from documents)"""
+  union all select -1 - doc_id, text from documents)"""
 
 
 @query("title_classify", f"""
@@ -180,7 +180,7 @@ def title_classify(spark, d):
     titles = c.table(spark, d, "customer").selectExpr(
         "c_custkey as id", f"{c.spark_pick(c.HEADLINES, 'c_custkey')} as title"
     ).unionByName(c.table(spark, d, "documents").selectExpr(
-        "-1 - doc_id as id", "left(text, 80) as title"))
+        "-1 - doc_id as id", "text as title"))
     return titles.select("id", normalize_title(F.col("title"), c.SAMPLE).alias("t")).select(
         "id", "t.seniority", "t.family", "t.normalized_title")
 
