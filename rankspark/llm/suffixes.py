@@ -39,8 +39,7 @@ from rankspark.llm.minhash import mixed
 
 WIDTH, GRAM = 200, 16
 BLOCK = 1 << 18          # bytes of text looked at together
-SHARD_BYTES, HOT = 2 << 20, 512
-MERGE_ROWS = 100_000     # fingerprints in a range
+SHARD_BYTES, HOT = 2 << 20, 2048
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -201,37 +200,52 @@ def repeats_in_shard(bodies: list[bytes], copies: list[int]) -> tuple[np.ndarray
     return repeated, places[heads], starts
 
 
-FOUND = "value long, digest long, a int, b int, mark int, shard long, f1 long, f2 long"
+FOUND = "value long, digest long, a int, b int, range int, shard long, prints binary"
+#: A window that other shards may have: fingerprint, its string, its place there, and whether it repeats here.
+_PRINT = np.dtype([("f1", "<i8"), ("f2", "<i8"), ("value", "<i8"), ("digest", "<i8"), ("a", "<i4"), ("here", "?")])
 
 
-def search_shard(frame: pd.DataFrame) -> pd.DataFrame:
-    """Ranges of repeated windows by string (mark 0); for strings of names that other shards have too, a
-    fingerprint for each different window (mark 1: not repeated here, 2: repeated here)."""
+def search_shard(frame: pd.DataFrame, n_ranges: int = 1) -> pd.DataFrame:
+    """Ranges of repeated windows by string; for strings of names that other shards have too, the
+    fingerprints of the different windows as well, a row of sorted ones for each range of fingerprints."""
     frame = frame.sort_values(["value", "digest"]).reset_index(drop=True)
     bodies = [bytes(b) for b in frame["body"]]
     repeated, heads, starts = repeats_in_shard(bodies, frame["copies"].tolist())
+    shard = int(frame["shard"].iloc[0])
+    values, digests = frame["value"].tolist(), frame["digest"].tolist()
     rows = []
-    for k, (value, digest) in enumerate(zip(frame["value"], frame["digest"])):
-        rows += [(value, digest, a, b, 0, 0, 0, 0) for a, b in ranges_of(repeated[starts[k]: starts[k + 1]])]
+    for k in range(len(bodies)):
+        rows += [(values[k], digests[k], a, b, None, shard, None) for a, b in ranges_of(repeated[starts[k]: starts[k + 1]])]
     hot = frame["hot"].to_numpy(bool)
-    if hot.any():
-        shard = int(frame["shard"].iloc[0])
-        owner = np.searchsorted(starts, heads, side="right") - 1
-        for place, k in zip(heads[hot[owner]].tolist(), owner[hot[owner]].tolist()):
-            at = place - int(starts[k])
-            sign = np.frombuffer(xxhash.xxh3_128_digest(bodies[k][at: at + WIDTH]), np.int64)
-            rows.append((frame["value"][k], frame["digest"][k], at, at + 1, 2 if repeated[place] else 1, shard, sign[0], sign[1]))
-    return pd.DataFrame(rows, columns=["value", "digest", "a", "b", "mark", "shard", "f1", "f2"])
+    owner = np.searchsorted(starts, heads, side="right") - 1
+    mine = np.flatnonzero(hot[owner])
+    if len(mine):
+        prints = np.empty(len(mine), _PRINT)
+        for at, (place, k) in enumerate(zip(heads[mine].tolist(), owner[mine].tolist())):
+            a = place - int(starts[k])
+            sign = xxhash.xxh3_128_intdigest(bodies[k][a: a + WIDTH])
+            prints[at] = ((sign >> 64) - (1 << 63), (sign & (2**64 - 1)) - (1 << 63), values[k], digests[k], a, repeated[place])
+        prints.sort(order=["f1", "f2"])
+        part = prints["f1"] % n_ranges
+        rows += [(None, None, None, None, int(r), shard, prints[part == r].tobytes()) for r in np.unique(part)]
+    columns = list(zip(*rows)) if rows else [[]] * 7
+    kinds = ("Int64", "Int64", "Int32", "Int32", "Int32", "int64", object)  # whole numbers, even beside nulls
+    fields = ("value", "digest", "a", "b", "range", "shard", "prints")
+    return pd.DataFrame({n: pd.Series(list(c), dtype=k) for n, c, k in zip(fields, columns, kinds)})
 
 
 def merge_range(frame: pd.DataFrame) -> pd.DataFrame:
-    """Windows of one range of fingerprints that some other shard has: halving searches in its sorted list."""
-    lists = {s: np.sort(f[["f1", "f2"]].to_numpy(np.int64).copy().view([("x", "<i8"), ("y", "<i8")]).ravel())
-             for s, f in frame.groupby("shard")}
-    every = np.sort(np.concatenate(list(lists.values()))) if lists else np.empty(0)
-    mine = frame[["f1", "f2"]].to_numpy(np.int64).copy().view([("x", "<i8"), ("y", "<i8")]).ravel()
-    many = np.searchsorted(every, mine, side="right") - np.searchsorted(every, mine, side="left")
-    return frame.loc[(many > 1) & (frame["mark"] == 1).to_numpy(), ["value", "digest", "a", "b"]]
+    """Windows that some other shard has too: each shard's sorted fingerprints are looked for in the
+    sorted ones of all shards by halving."""
+    lists = [np.frombuffer(p, _PRINT) for p in frame["prints"]]
+    keys = [p[["f1", "f2"]].copy().astype([("x", "<i8"), ("y", "<i8")]) for p in lists]
+    every = np.sort(np.concatenate(keys))
+    found = []
+    for prints, mine in zip(lists, keys):
+        many = np.searchsorted(every, mine, side="right") - np.searchsorted(every, mine, side="left")
+        found.append(prints[(many > 1) & ~prints["here"]])
+    got = np.concatenate(found)
+    return pd.DataFrame({"value": got["value"], "digest": got["digest"], "a": got["a"], "b": got["a"] + 1})
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -305,14 +319,16 @@ def repeated_spans(keyed: DataFrame, shard_bytes: int = SHARD_BYTES, hot: int =
         own = F.pmod(F.xxhash64("value"), F.lit(shards))
         spread = F.pmod(F.xxhash64("value", "digest"), F.lit(shards))
         dealt = dealt.withColumn("shard", F.when(F.col("hot"), spread).otherwise(own))
-        found = staged(_bodies(dealt, keyed).groupBy("shard").applyInPandas(search_shard, FOUND))
-        prints = found.filter("mark > 0")
-        ranges = found.filter("mark = 0").select("value", "digest", "a", "b")
-        n_prints = prints.count()
-        if n_prints:
-            buckets = max(1, math.ceil(n_prints / MERGE_ROWS))
-            met = prints.groupBy(F.pmod("f1", F.lit(buckets))).applyInPandas(merge_range, "value long, digest long, a int, b int")
-            ranges = ranges.unionByName(met)
+        n_ranges = max(1, shards // 2)
+
+        def search(frame: pd.DataFrame) -> pd.DataFrame:
+            return search_shard(frame, n_ranges)
+
+        found = staged(_bodies(dealt, keyed).groupBy("shard").applyInPandas(search, FOUND))
+        ranges = found.filter("prints is null").select("value", "digest", "a", "b")
+        met = found.filter("prints is not null").groupBy("range").applyInPandas(
+            merge_range, "value long, digest long, a int, b int")
+        ranges = ranges.unionByName(met)
         by_string = staged(ranges.groupBy("value", "digest").agg(F.collect_list(F.struct("a", "b")).alias("ranges")))
         part = again.filter(~F.col("same")).join(by_string, ["value", "digest"]).select(
             "k1", "k2", "place", F.explode("ranges").alias("r"))
