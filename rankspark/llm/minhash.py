@@ -225,9 +225,11 @@ def _unseen(exact: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     fits = ((F.col("root_x") != F.col("root_y")) & (F.col("linked_x") | (F.col("a_x") < F.col("a_y")))
             & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")))
     most = F.least("common_x", "common_y")
-    # they share a shingle that the centre lacks
-    by_shingle = y.withColumn("t", F.explode("extra_y")).join(x.withColumn("t", F.explode("extra_x")), ["b", "t"]).filter(
-        fits & _reaches(most + F.least(F.col("n_x") - F.col("common_x"), F.col("n_y") - F.col("common_y")), percent, "n_x", "n_y"))
+    # they share shingles that the centre lacks: those met in the prefixes, and at most what lies behind one of them
+    met = y.withColumn("t", F.explode("extra_y")).join(x.withColumn("t", F.explode("extra_x")), ["b", "t"]).filter(fits)
+    behind = F.greatest(*[F.col(f"n_{s}") - F.col(f"common_{s}") - F.size(f"extra_{s}") for s in "xy"])
+    by_shingle = met.groupBy("b", "a_x", "a_y", "n_x", "n_y", most.alias("most"), behind.alias("behind")).agg(
+        F.count(F.lit(1)).alias("shared")).filter(_reaches(F.col("most") + F.col("shared") + F.col("behind"), percent, "n_x", "n_y"))
     # or none, and what they share of the centre is enough alone
     size_class = (lambda n: F.floor(F.log(n) * 50).cast("int"))
     largest = F.floor(F.col("common_y") * (100 + percent) / percent).cast("long") - F.col("n_y")
