@@ -8,7 +8,9 @@ encoded parts are unwrapped into new layers, until nothing new comes up:
 - base64 fragments become layers of their own; bytes with the mark of gzip, zlib, bzip2 or xz are
   decompressed before they are read as text.
 
-Layers are remembered by digest, so that a layer that contains itself ends the walk.  Each layer knows
+Layers are remembered by the digest of their text and of its places in the original, so that a layer that
+contains itself ends the walk (it keeps the place of what it came from), while a repeated fragment is
+scanned at each of its places.  Each layer knows
 for each of its characters which span of the original text it came from (``_Layer``); a secret found
 in a layer is reported at the original span that carries it, with the path of the encodings before its
 kind, as in ``url/assign`` or ``base64+gzip/access``.
@@ -74,6 +76,14 @@ class _Layer:
     def origin(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.starts is None else (int(self.starts[a]), int(self.ends[b - 1]))
 
+    def key(self) -> bytes:
+        """Digest of the text and its places; one place for all of it counts once."""
+        digest = hashlib.blake2b(self.text.encode(errors="surrogatepass"), digest_size=16)
+        for places in (self.starts, self.ends):
+            if places is not None:
+                digest.update(b"|" + (places[:1] if (places[:1] == places).all() else places).tobytes())
+        return digest.digest()
+
     def named(self, step: str) -> str:
         return f"{self.path}+{step}" if self.path else step
 
@@ -180,12 +190,12 @@ def scan(text: str, limit: int = MAX_LAYER) -> list[Span]:
     """Every span of one text, in order."""
     base = base_matches(text)
     found = {(kind, a, b): Span(a, KINDS.index(kind), kind, b) for kind, a, b in base}
-    work, seen = [_Layer(text, "")], {hashlib.blake2b(text.encode(), digest_size=16).digest()}
+    work = [_Layer(text, "")]
+    seen = {work[0].key()}
 
     def push(layer: _Layer) -> None:
-        digest = hashlib.blake2b(layer.text.encode(errors="surrogatepass"), digest_size=16).digest()
-        if digest not in seen:
-            seen.add(digest)
+        if (key := layer.key()) not in seen:
+            seen.add(key)
             work.append(layer)
 
     def add(kind: str, path: str, a: int, b: int) -> None:

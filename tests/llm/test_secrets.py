@@ -88,3 +88,14 @@ def test_rows(spark):
         if text is not None:
             assert "hunter2" not in r.text and r.n_chars == len(r.text)
     assert secrets.secret_digest(documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("inner", LAYERS)
+def test_repeated_fragments(spark, inner):
+    first, other = (base64.b64encode(LAYERS[inner](SECRET).encode()).decode(), base64.b64encode(gzip.compress(LAYERS[inner](SECRET).encode())).decode())
+    text = f"{first} log line, {first} again, {other} packed"
+    places = {m.span() for part in (first, other) for m in re.finditer(re.escape(part), text)}
+    assert len(places) == 3
+    assert places <= {(s.start, s.end) for s in secrets.scan(text) if s.kind.endswith("/assign")}
+    got = secrets.redacted(odd_documents(spark, [(1, text)])).first().text
+    assert first not in got and other not in got
