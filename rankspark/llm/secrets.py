@@ -6,7 +6,7 @@ encoded parts are unwrapped into new layers, until nothing new comes up:
 - percent escapes and Unicode escapes (``\\uXXXX``, ``\\xXX``, ``&#N;``) are decoded in place, so that a
   secret half inside an escape is seen with its surroundings;
 - base64 fragments become layers of their own; bytes with the mark of gzip, zlib, bzip2 or xz are
-  decompressed before they are read as text.
+  decompressed before they are read as text, all members of a stream, and a broken one up to its break.
 
 Layers are remembered by the digest of their text and of its places in the original, so that a layer that
 contains itself ends the walk (it keeps the place of what it came from), while a repeated fragment is
@@ -53,7 +53,8 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "api")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_MAGIC = ((b"\x1f\x8b", "gzip"), (b"BZh", "bzip2"), (b"\xfd7zXZ\x00", "xz"), (b"\x78\x01", "zlib"), (b"\x78\x9c", "zlib"), (b"\x78\xda", "zlib"))
+_MAGIC = ((b"\x1f\x8b", "gzip"), (b"BZh", "bzip2"), (b"\xfd7zXZ\x00", "xz"))
+_STEP, _PIECE = 512, 1 << 20  # compressed bytes fed and decompressed bytes taken at once
 
 
 @dataclass(frozen=True, order=True)
@@ -142,17 +143,45 @@ def _escape(run: str) -> str | None:
         return None
 
 
-def _expand(raw: bytes, kind: str, limit: int) -> bytes | None:
-    """Decompressed bytes, None if they are broken; OverflowError beyond the limit."""
+def _kind(raw: bytes, at: int = 0) -> str | None:
+    """The compression whose mark stands at ``at``; for zlib any head that its format allows."""
+    if kind := next((k for mark, k in _MAGIC if raw.startswith(mark, at)), None):
+        return kind
+    head = raw[at: at + 2]
+    return "zlib" if len(head) == 2 and head[0] & 15 == 8 and head[0] < 128 and int.from_bytes(head) % 31 == 0 else None
+
+
+def _inflated(raw: bytes, at: int, kind: str) -> Iterator[bytes]:
+    """Bounded pieces of what is compressed from ``at`` on, all members; up to the break if it is broken or cut off."""
     make = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}
-    tool = make[kind]()
-    try:
-        out = tool.decompress(raw, limit + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    if len(out) > limit:
-        raise OverflowError
-    return out if tool.eof else None
+    while at < len(raw) and _kind(raw, at) == kind:
+        tool, fed = make[kind](), at
+        while not tool.eof:
+            held = tool.unconsumed_tail if kind in ("gzip", "zlib") else b""
+            data = held or (b"" if not getattr(tool, "needs_input", True) else raw[fed: fed + _STEP])
+            fed += 0 if held else len(data)
+            try:
+                piece = tool.decompress(data, _PIECE)
+            except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+                return
+            if piece:
+                yield piece
+            elif not data and not tool.eof:
+                return
+        at = fed - len(tool.unused_data)
+        while kind in ("gzip", "xz") and raw[at: at + 1] == b"\0":  # members may be padded
+            at += 1
+
+
+def _expand(raw: bytes, kind: str, limit: int) -> bytes | None:
+    """Decompressed bytes of all members, None if there are none; OverflowError beyond the limit."""
+    parts, size = [], 0
+    for piece in _inflated(raw, 0, kind):
+        parts.append(piece)
+        size += len(piece)
+        if size > limit:
+            raise OverflowError
+    return b"".join(parts) or None
 
 
 def _readable(raw: bytes) -> str | None:
@@ -165,25 +194,24 @@ def _readable(raw: bytes) -> str | None:
     return text if text and seen >= 0.9 * len(text) else None
 
 
-def _unwrapped(token: str, limit: int) -> tuple[str, str] | None:
-    """(steps, text) inside a base64 fragment, through any compression."""
+def _unwrapped(token: str, limit: int) -> Iterator[tuple[str, str]]:
+    """(steps, text) inside a base64 fragment, at each step through any compression: plain text can look like a zlib head."""
     body = token.rstrip("=").translate({45: 43, 95: 47})
     if len(body) % 4 == 1:
-        return None
+        return
     raw, steps = base64.b64decode(body + "=" * (-len(body) % 4)), ["base64"]
     seen = set()
-    while kind := next((k for mark, k in _MAGIC if raw.startswith(mark)), None):
+    while raw:
         digest = hashlib.blake2b(raw, digest_size=16).digest()
         if digest in seen:
-            return None
+            return
         seen.add(digest)
-        out = _expand(raw, kind, limit)
-        if out is None:
-            break
-        raw = out
+        if (text := _readable(raw)) is not None:
+            yield "+".join(steps), text
+        if (kind := _kind(raw)) is None:
+            return
+        raw = _expand(raw, kind, limit)
         steps.append(kind)
-    text = _readable(raw)
-    return None if text is None else ("+".join(steps), text)
 
 
 def scan(text: str, limit: int = MAX_LAYER) -> list[Span]:
@@ -214,13 +242,10 @@ def scan(text: str, limit: int = MAX_LAYER) -> list[Span]:
         for m in _BASE64.finditer(layer.text):
             a, b = layer.origin(*m.span())
             try:
-                inner = _unwrapped(m[0], limit)
+                for steps, inner in _unwrapped(m[0], limit):
+                    push(_Layer(inner, layer.named(steps), np.full(len(inner), a), np.full(len(inner), b)))
             except OverflowError:
                 add("oversized", layer.named("base64"), a, b)
-                continue
-            if inner:
-                size = len(inner[1])
-                push(_Layer(inner[1], layer.named(inner[0]), np.full(size, a), np.full(size, b)))
     return sorted(found.values())
 
 

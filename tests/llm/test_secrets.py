@@ -99,3 +99,23 @@ def test_repeated_fragments(spark, inner):
     assert places <= {(s.start, s.end) for s in secrets.scan(text) if s.kind.endswith("/assign")}
     got = secrets.redacted(odd_documents(spark, [(1, text)])).first().text
     assert first not in got and other not in got
+
+
+def test_all_compressed_heads_and_members():
+    def kinds(raw):
+        return {s.kind for s in secrets.scan(base64.b64encode(raw).decode())}
+
+    filler = "".join(invented(seeded(2), 400)).encode()
+    for level in range(10):
+        assert "base64+zlib/assign" in kinds(zlib.compress(f"é {SECRET}".encode(), level)), level
+        for bits in range(9, 16):
+            tool = zlib.compressobj(level, zlib.DEFLATED, bits)
+            assert "base64+zlib/assign" in kinds(tool.compress(SECRET.encode()) + tool.flush()), (level, bits)
+    for name, pack in (("gzip", gzip.compress), ("bzip2", bz2.compress), ("xz", lzma.compress), ("zlib", zlib.compress)):
+        members = [pack(t) for t in (filler, b"nothing here", SECRET.encode())]
+        assert f"base64+{name}/assign" in kinds(b"".join(members)), name
+        assert f"base64+{name}/assign" in kinds(pack(SECRET.encode()[:14]) + pack(SECRET.encode()[14:])), name
+    assert "base64+gzip/assign" in kinds(gzip.compress(filler) + bytes(512) + gzip.compress(SECRET.encode()))
+    heads = [bytes([a, b]) for a in range(32, 127) for b in range(32, 127) if a & 15 == 8 and (a * 256 + b) % 31 == 0]
+    assert heads and all("base64/assign" in kinds(head + b" " + SECRET.encode()) for head in heads)
+    assert "base64+gzip/assign" in kinds(gzip.compress(SECRET.encode())[:-8])
