@@ -8,6 +8,9 @@ encoded parts are unwrapped into new layers, until nothing new comes up:
 - base64 fragments become layers of their own; bytes with the mark of gzip, zlib, bzip2 or xz are
   decompressed before they are read as text, all members of a stream, and a broken one up to its break.
 
+Decoded bytes are scanned whatever they are: as UTF-8, or else as Latin-1, and as UTF-16 (``utf16`` in the
+path) where zero bytes alternate.  Of percent and Unicode escapes the valid parts are decoded.
+
 Layers are remembered by the digest of their text and of its places in the original, so that a layer that
 contains itself ends the walk (it keeps the place of what it came from), while a repeated fragment is
 scanned at each of its places.  Each layer knows
@@ -52,6 +55,9 @@ MAX_LAYER = 64 << 20
 _KEYWORDS = ("password", "passwd", "secret", "token", "api")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+# What a short layer must have to be worth a scan, and text in two-byte characters.
+_WORTH = re.compile(r"password|passwd|secret|token|api|AKIA|[0-9a-f]{32}|%[0-9a-f]{2}|\\[ux]|&#|[a-z0-9+/_\s-]{16}", re.IGNORECASE | re.ASCII)
+_WIDE = re.compile(rb"(?:[\t-~]\x00){8}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _MAGIC = ((b"\x1f\x8b", "gzip"), (b"BZh", "bzip2"), (b"\xfd7zXZ\x00", "xz"))
 _STEP, _PIECE = 512, 1 << 20  # compressed bytes fed and decompressed bytes taken at once
@@ -124,23 +130,27 @@ def _spliced(layer: _Layer, pattern: re.Pattern, decode, step: str) -> _Layer |
 
 
 def _percent(run: str) -> str | None:
-    try:
-        return bytes.fromhex(run.replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+    """The run with all valid UTF-8 decoded; bytes that are none stay as they are written."""
+    out, at = [], 0
+    for c in bytes.fromhex(run.replace("%", "")).decode(errors="surrogateescape"):
+        wrong = 0xDC80 <= ord(c) < 0xDD00
+        out.append(run[3 * at: 3 * at + 3] if wrong else c)
+        at += 1 if wrong else len(c.encode())
+    return got if (got := "".join(out)) != run else None
 
 
 def _escape(run: str) -> str | None:
     if run.startswith("&#"):
         code = int(run[3:-1], 16) if run[2] in "xX" else int(run[2:-1])
         return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
-    codes = run[2:] if run.startswith("\\x") else "".join(run.split("\\u"))
     if run.startswith("\\x"):
-        return chr(int(codes, 16))
-    try:  # pairs of surrogates stand for one character
-        return bytes.fromhex(codes).decode("utf-16-be")
-    except UnicodeDecodeError:
-        return None
+        return chr(int(run[2:], 16))
+    out, at = [], 0
+    # pairs of surrogates stand for one character; single ones stay as they are written
+    for c in bytes.fromhex("".join(run.split("\\u"))).decode("utf-16-be", "surrogatepass"):
+        out.append(run[6 * at: 6 * at + 6] if 0xD800 <= ord(c) < 0xE000 else c)
+        at += 1 + (ord(c) > 0xFFFF)
+    return got if (got := "".join(out)) != run else None
 
 
 def _kind(raw: bytes, at: int = 0) -> str | None:
@@ -184,14 +194,18 @@ def _expand(raw: bytes, kind: str, limit: int) -> bytes | None:
     return b"".join(parts) or None
 
 
-def _readable(raw: bytes) -> str | None:
-    """Bytes as text, if nearly all of it is meant to be read."""
+def _texts(raw: bytes) -> Iterator[tuple[list[str], str]]:
+    """(steps, text) of all readings of some bytes in which a pattern or an encoding can be found.
+
+    The patterns are ASCII, so that Latin-1 shows all of them in bytes that are not UTF-8.
+    """
     try:
-        text = raw.decode()
+        readings = [([], raw.decode())]
     except UnicodeDecodeError:
-        return None
-    seen = sum(c.isprintable() or c in "\n\r\t" for c in text)
-    return text if text and seen >= 0.9 * len(text) else None
+        readings = [([], raw.decode("latin-1"))]
+    if _WIDE.search(raw):  # little-endian from one of the two places, big-endian from the other
+        readings += [(["utf16"], raw[at:].decode("utf-16-le", "replace")) for at in (0, 1)]
+    yield from (r for r in readings if len(r[1]) > 4096 or _WORTH.search(r[1]))
 
 
 def _unwrapped(token: str, limit: int) -> Iterator[tuple[str, str]]:
@@ -206,8 +220,8 @@ def _unwrapped(token: str, limit: int) -> Iterator[tuple[str, str]]:
         if digest in seen:
             return
         seen.add(digest)
-        if (text := _readable(raw)) is not None:
-            yield "+".join(steps), text
+        for how, text in _texts(raw):
+            yield "+".join(steps + how), text
         if (kind := _kind(raw)) is None:
             return
         raw = _expand(raw, kind, limit)
@@ -243,7 +257,7 @@ def scan(text: str, limit: int = MAX_LAYER) -> list[Span]:
             a, b = layer.origin(*m.span())
             try:
                 for steps, inner in _unwrapped(m[0], limit):
-                    push(_Layer(inner, layer.named(steps), np.full(len(inner), a), np.full(len(inner), b)))
+                    push(_Layer(inner, layer.named(steps), np.broadcast_to(a, len(inner)), np.broadcast_to(b, len(inner))))
             except OverflowError:
                 add("oversized", layer.named("base64"), a, b)
     return sorted(found.values())

@@ -119,3 +119,21 @@ def test_all_compressed_heads_and_members():
     heads = [bytes([a, b]) for a in range(32, 127) for b in range(32, 127) if a & 15 == 8 and (a * 256 + b) % 31 == 0]
     assert heads and all("base64/assign" in kinds(head + b" " + SECRET.encode()) for head in heads)
     assert "base64+gzip/assign" in kinds(gzip.compress(SECRET.encode())[:-8])
+
+
+def test_layers_that_are_not_utf8():
+    rng = seeded(5)
+    noise = lambda n: rng.randbytes(n)
+    line = f"naïve größe\n{SECRET}\n"
+    raws = [line.encode("latin-1"), line.encode("utf-16"), line.encode("utf-16-le"), line.encode("utf-16-be"), b"x" + line.encode("utf-16-be"),
+            noise(300) + SECRET.encode() + b"\0" + noise(300), bytes(200) + SECRET.encode(), b"\xff" + LAYERS["base64"](SECRET).encode(),
+            noise(50) + line.encode("utf-16-le")]
+    for raw in raws:
+        for wrapped in (base64.b64encode(raw).decode(), base64.b64encode(gzip.compress(raw)).decode()):
+            text = f"see {wrapped} here"
+            spans = [s for s in secrets.scan(text) if s.kind.endswith("/assign")]
+            assert spans and wrapped not in secrets.redact(text, spans), raw
+    for run in ("%FF%70%61ssword=hunter2abcd", "%70%61%73%73word=hunter2%61%62%e9%63%64", "\\u0070\\u0061ssword=hunter2\\u0061\\u0062\\ud800"):
+        assert any(s.kind.endswith("/assign") for s in secrets.scan(f"a {run} b")), run
+    assert secrets._percent("%e9%C3%A9%ff") == "%e9é%ff" and secrets._percent("%ff%fe") is None
+    assert secrets._escape("\\ud83d\\ude00\\ud800\\u0041") == "\U0001f600\\ud800A" and secrets._escape("\\udc00") is None
