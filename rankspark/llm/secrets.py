@@ -5,7 +5,8 @@ encoded parts are unwrapped into new layers, until nothing new comes up:
 
 - percent escapes and Unicode escapes (``\\uXXXX``, ``\\xXX``, ``&#N;``) are decoded in place, so that a
   secret half inside an escape is seen with its surroundings;
-- base64 fragments become layers of their own; bytes with the mark of gzip, zlib, bzip2 or xz are
+- base64 fragments become layers of their own, whether other characters are glued to them or line breaks
+  divide them (``_fragments``); bytes with the mark of gzip, zlib, bzip2 or xz are
   decompressed before they are read as text, all members of a stream, and a broken one up to its break.
 
 Decoded bytes are scanned whatever they are: as UTF-8, or else as Latin-1, and as UTF-16 (``utf16`` in the
@@ -59,6 +60,9 @@ _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#
 _WORTH = re.compile(r"password|passwd|secret|token|api|AKIA|[0-9a-f]{32}|%[0-9a-f]{2}|\\[ux]|&#|[a-z0-9+/_\s-]{16}", re.IGNORECASE | re.ASCII)
 _WIDE = re.compile(rb"(?:[\t-~]\x00){8}")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)++={0,2}")
+_GLUE = re.compile(r"[+/_-]")
+_MARK = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00")  # long enough to be looked for anywhere
 _MAGIC = ((b"\x1f\x8b", "gzip"), (b"BZh", "bzip2"), (b"\xfd7zXZ\x00", "xz"))
 _STEP, _PIECE = 512, 1 << 20  # compressed bytes fed and decompressed bytes taken at once
 
@@ -161,8 +165,8 @@ def _kind(raw: bytes, at: int = 0) -> str | None:
     return "zlib" if len(head) == 2 and head[0] & 15 == 8 and head[0] < 128 and int.from_bytes(head) % 31 == 0 else None
 
 
-def _inflated(raw: bytes, at: int, kind: str) -> Iterator[bytes]:
-    """Bounded pieces of what is compressed from ``at`` on, all members; up to the break if it is broken or cut off."""
+def _inflated(raw: bytes, at: int, kind: str) -> Iterator[tuple[bytes, int]]:
+    """Bounded pieces, each with its end, of what is compressed from ``at`` on, all members; up to the break if it is broken or cut off."""
     make = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}
     while at < len(raw) and _kind(raw, at) == kind:
         tool, fed = make[kind](), at
@@ -174,24 +178,24 @@ def _inflated(raw: bytes, at: int, kind: str) -> Iterator[bytes]:
                 piece = tool.decompress(data, _PIECE)
             except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
                 return
-            if piece:
-                yield piece
-            elif not data and not tool.eof:
+            if piece or tool.eof:
+                yield piece, fed - len(tool.unused_data)
+            elif not data:
                 return
         at = fed - len(tool.unused_data)
         while kind in ("gzip", "xz") and raw[at: at + 1] == b"\0":  # members may be padded
             at += 1
 
 
-def _expand(raw: bytes, kind: str, limit: int) -> bytes | None:
-    """Decompressed bytes of all members, None if there are none; OverflowError beyond the limit."""
-    parts, size = [], 0
-    for piece in _inflated(raw, 0, kind):
+def _expand(raw: bytes, at: int, kind: str, limit: int) -> tuple[bytes, int]:
+    """Decompressed bytes of all members from ``at`` on, and where they end; OverflowError beyond the limit."""
+    parts, size, end = [], 0, at
+    for piece, end in _inflated(raw, at, kind):
         parts.append(piece)
         size += len(piece)
         if size > limit:
             raise OverflowError
-    return b"".join(parts) or None
+    return b"".join(parts), end
 
 
 def _texts(raw: bytes) -> Iterator[tuple[list[str], str]]:
@@ -208,24 +212,116 @@ def _texts(raw: bytes) -> Iterator[tuple[list[str], str]]:
     yield from (r for r in readings if len(r[1]) > 4096 or _WORTH.search(r[1]))
 
 
-def _unwrapped(token: str, limit: int) -> Iterator[tuple[str, str]]:
-    """(steps, text) inside a base64 fragment, at each step through any compression: plain text can look like a zlib head."""
-    body = token.rstrip("=").translate({45: 43, 95: 47})
-    if len(body) % 4 == 1:
-        return
-    raw, steps = base64.b64decode(body + "=" * (-len(body) % 4)), ["base64"]
-    seen = set()
-    while raw:
-        digest = hashlib.blake2b(raw, digest_size=16).digest()
+def _unwrapped(raw: bytes, starts: np.ndarray, limit: int) -> Iterator[tuple[list[str], str | None, int, int]]:
+    """(steps, text, from, to) of all readings of some bytes, through any compression; the text is None beyond the limit.
+
+    Where a stream begins: at the marks that cannot stand by chance, at the front and at ``starts``.  Plain text
+    can look like a zlib head, so bytes are read as they are, too.
+    """
+    work, seen = [(raw, [], None)], set()
+    while work:
+        now, steps, place = work.pop()
+        digest = (hashlib.blake2b(now, digest_size=16).digest(), place)
         if digest in seen:
-            return
+            continue
         seen.add(digest)
-        for how, text in _texts(raw):
-            yield "+".join(steps + how), text
-        if (kind := _kind(raw)) is None:
-            return
-        raw = _expand(raw, kind, limit)
-        steps.append(kind)
+        for how, text in _texts(now):
+            yield steps + how, text, *(place or (0, len(now)))
+        marks = {m.start() for m in _MARK.finditer(now)} | {0} | (set(starts.tolist()) if place is None else set())
+        done = 0
+        for at in sorted(marks):
+            if at < done or (kind := _kind(now, at)) is None:
+                continue
+            try:
+                out, end = _expand(now, at, kind, limit)
+            except OverflowError:
+                yield steps + [kind], None, *(place or (at, len(now)))
+                continue
+            if out:
+                work.append((out, steps + [kind], place or (at, end)))
+                done = end if kind != "zlib" or end - at > _STEP else done
+
+
+def _fragments(text: str) -> Iterator[tuple[int, np.ndarray, str]]:
+    """(first, places, characters) of every run of base64 characters, and of every run that line breaks divide.
+
+    ``places`` has the place of each character after ``first``.
+    """
+    for m in _BASE64.finditer(text):
+        yield m.start(), np.arange(m.end() - m.start()), m[0]
+    for m in _WRAPPED.finditer(text):
+        if len(m[0]) > 16:
+            codes = np.frombuffer(m[0].encode("ascii"), np.uint8)
+            places = np.flatnonzero(codes > 32)
+            if len(places) >= 16:
+                yield m.start(), places, codes[places].tobytes().decode()
+
+
+class _Run:
+    """A fragment, read in the four alignments, and where each reading of it lies."""
+
+    def __init__(self, places: np.ndarray, run: str):
+        self.size = len(run)
+        self.body = run.rstrip("=").translate({45: 43, 95: 47})
+        self.places, n = places, len(self.body)
+        lines = np.flatnonzero(np.diff(places[:n]) > 1) + 1
+        glue = np.array([m.start() for m in _GLUE.finditer(run[:n])], np.int64)
+        self.begins = np.unique(np.concatenate([[0], lines, glue + 1]))  # where a payload may begin
+        self.stops = np.unique(np.concatenate([lines, glue, [n]]))       # and where it may end
+
+    def raw(self, shift: int) -> bytes:
+        body = self.body[shift:]
+        if len(body) % 4 == 1:  # a character alone holds no byte
+            body = body[:-1]
+        return base64.b64decode(body + "=" * (-len(body) % 4))
+
+    def starts(self, shift: int) -> np.ndarray:
+        """Bytes of a reading at which a payload may begin."""
+        begins = self.begins[self.begins % 4 == shift]
+        return (begins - shift) // 4 * 3
+
+    def span(self, first: int, end: int) -> tuple[int, int]:
+        """Places of the characters first to end, with the padding if they reach it."""
+        last = self.size if end >= len(self.body) else end
+        return int(self.places[first]), int(self.places[last - 1]) + 1
+
+    def stream(self, shift: int, low: int, high: int) -> tuple[int, int]:
+        """Span of the bytes low to high of a reading, up to the next stop."""
+        end = shift + -(-high * 8 // 6)
+        k = int(np.searchsorted(self.stops, end))
+        begin = int(np.searchsorted(self.begins, shift + low * 8 // 6, side="right")) - 1
+        return self.span(int(self.begins[begin]), int(self.stops[min(k, len(self.stops) - 1)]))
+
+    def clean_spans(self, shift: int, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """For each byte of a reading the span of the payload it is in: from the first begin to the last stop in the
+        stretch of plain characters around it, or the whole run where there is none."""
+        codes = np.frombuffer(raw, np.uint8)
+        bad = np.flatnonzero(((codes < 32) & (codes != 9) & (codes != 10) & (codes != 13)) | (codes > 126))
+        at = np.arange(len(codes))
+        k = np.searchsorted(bad, at)
+        low = np.concatenate([[0], bad + 1])[np.searchsorted(bad, at, side="right")]
+        high = np.append(bad, len(codes))[k]
+        begins = self.starts(shift)
+        chars = np.append(begins // 3 * 4 + shift, 0)
+        slot = np.searchsorted(begins, low)
+        fits = np.append(begins, len(codes))[slot] <= at
+        first = np.where(fits, chars[slot], 0)
+        ends = self.stops[self.stops > shift]
+        whole = (ends - shift) * 6 // 8
+        slot = np.searchsorted(whole, high, side="right") - 1
+        fits = (slot >= 0) & (whole[slot] > at)
+        end = np.where(fits, ends[slot], len(self.body))
+        last = np.where(end >= len(self.body), self.size, end)
+        return self.places[first], self.places[last - 1] + 1
+
+
+def _plain(raw: bytes) -> bool:
+    """UTF-8 and nearly all of it meant to be read: such a reading is one payload."""
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError:
+        return False
+    return sum(c.isprintable() or c in "\n\r\t" for c in text) >= 0.9 * len(text)
 
 
 def scan(text: str, limit: int = MAX_LAYER) -> list[Span]:
@@ -253,13 +349,27 @@ def scan(text: str, limit: int = MAX_LAYER) -> list[Span]:
             push(child)
         if ("\\" in layer.text or "&#" in layer.text) and (child := _spliced(layer, _ESCAPE, _escape, "unicode")):
             push(child)
-        for m in _BASE64.finditer(layer.text):
-            a, b = layer.origin(*m.span())
-            try:
-                for steps, inner in _unwrapped(m[0], limit):
-                    push(_Layer(inner, layer.named(steps), np.broadcast_to(a, len(inner)), np.broadcast_to(b, len(inner))))
-            except OverflowError:
-                add("oversized", layer.named("base64"), a, b)
+        for first, places, letters in _fragments(layer.text):
+            run = _Run(places + first, letters)
+            for shift in range(4):
+                raw, path = run.raw(shift), layer.named("base64")
+                starts = run.starts(shift)
+                for steps, inner, low, high in _unwrapped(raw, starts, limit):
+                    name = "+".join([path, *steps])
+                    if steps and steps != ["utf16"]:  # a stream: from where it begins to the next place where it may end
+                        place = layer.origin(*run.stream(shift, low, high))
+                    else:
+                        place = layer.origin(*run.span(0, len(run.body)))
+                    if inner is None:
+                        add("oversized", name.rpartition("+")[0], *place)
+                    elif steps or shift == 0 and _plain(raw):
+                        push(_Layer(inner, name, np.broadcast_to(place[0], len(inner)), np.broadcast_to(place[1], len(inner))))
+                    else:
+                        inner = raw.decode("latin-1")  # a character for each byte
+                        a, b = run.clean_spans(shift, raw)
+                        if layer.starts is not None:
+                            a, b = layer.starts[a], layer.ends[b - 1]
+                        push(_Layer(inner, name, a, b))
     return sorted(found.values())
 
 

@@ -137,3 +137,47 @@ def test_layers_that_are_not_utf8():
         assert any(s.kind.endswith("/assign") for s in secrets.scan(f"a {run} b")), run
     assert secrets._percent("%e9%C3%A9%ff") == "%e9é%ff" and secrets._percent("%ff%fe") is None
     assert secrets._escape("\\ud83d\\ude00\\ud800\\u0041") == "\U0001f600\\ud800A" and secrets._escape("\\udc00") is None
+
+
+def found_and_gone(text):
+    """The spans of assignments, which must leave nothing to find when they are blacked out."""
+    spans = [s for s in secrets.scan(text) if s.kind.endswith("/assign")]
+    assert not any(s.kind.endswith("assign") for s in secrets.scan(secrets.redact(text, spans))), text
+    return {(s.start, s.end) for s in spans}
+
+
+def test_glued_base64():
+    rng = seeded(6)
+    packs = [lambda t: t, lambda t: "é" + t, gzip.compress, zlib.compress, bz2.compress, lzma.compress]
+    for pack in packs:
+        for front in ("example.com/files/", "key_", "a-", "ab-", "abc/x_", "x", "xy", "xyz", "KEY+", ""):
+            for tail in ("", "/index", "_v2", "-", "x"):
+                for secret in (SECRET, SECRET + "e", SECRET + "ef"):
+                    raw = pack(secret.encode()) if pack in packs[2:] else pack(secret).encode()
+                    part = base64.b64encode(raw).decode()
+                    part = part.rstrip("=") if rng.random() < 0.5 or tail else part
+                    text = f"see {front}{part}{tail} end"
+                    a = 4 + len(front)
+                    assert any(x <= a and a + len(part.rstrip("=")) <= y for x, y in found_and_gone(text)), text
+    part = LAYERS["base64"](SECRET)
+    for front in ("example.com/files/", "key_"):
+        assert found_and_gone(f"see {front}{part} end") == {(4 + len(front), 4 + len(front) + len(part))}
+    assert found_and_gone("see " + part.strip("=") + "QQ") | found_and_gone("see " + base64.b64encode((SECRET + "e").encode()).decode() + "Q")
+
+
+def test_wrapped_base64():
+    rng = seeded(7)
+    words = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(60))
+    for pack in (bytes, gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        for width in (4, 10, 64, 76):
+            for line_break in ("\n", "\r\n", "\n    "):
+                for at in (0, 40, 50, 57, 120, 300):
+                    part = base64.b64encode(pack(f"{words[:at]} {SECRET} {words[at:]}".encode())).decode()
+                    block = line_break.join(part[k: k + width] for k in range(0, len(part), width))
+                    spans = found_and_gone(f"Content: é\n\n{block}\n\nend")
+                    least = 12 + len(block.rstrip("= \r\n"))  # padding may stand alone on the last line
+                    assert any(a == 12 and least <= b <= 12 + len(block) for a, b in spans), (pack, width, line_break, at)
+    nested = base64.encodebytes(base64.encodebytes(f"{words} {SECRET} {words}".encode())).decode()
+    assert found_and_gone(f"x:\n{nested}")
+    once = base64.b64encode((SECRET + "e").encode()).decode()
+    assert {(2, 30), (31, 59)} <= found_and_gone(f": {once}\n{once}")
