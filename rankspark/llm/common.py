@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +27,21 @@ def staged(frame: DataFrame) -> DataFrame:
     return written(frame)
 
 
+#: Bytes of text that a worker turns into Python objects at a time; one longer text stands alone.
+SLICE_BYTES = 4 << 20
+
+
 def each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """(doc_ids, texts) of every Arrow batch."""
+    """(doc_ids, texts) of slices of every Arrow batch, cut by bytes: what an operator holds for them stays bounded."""
     for batch in batches:
-        yield batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+        at, sizes = 0, pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes.astype(np.int64))
+        while at < len(ends):
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            part = batch.slice(at, stop - at)
+            yield part.column("doc_id").to_pylist(), part.column("text").to_pylist()
+            at = stop
 
 
 def keep_only(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -46,6 +46,7 @@ from rankspark.llm.components import components
 BUCKETS, MANTISSA = 320, 10
 MISSED = 1e-5            # most of the pairs at the threshold that may share no band
 SIGMAS = 7.5
+SALTS = 16               # parts that the members of one star are dealt over
 WORDS, PERCENT = 3, 85
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -216,18 +217,24 @@ def _stars(members: DataFrame, scores: DataFrame) -> DataFrame:
 
 def _unseen(exact: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of one star that may be links though not both are linked to its centre (step 5)."""
-    odd = exact.filter(~F.col("linked")).select("b").distinct()
-    rows = exact.join(odd, "b", "left_semi").join(roots, exact["a"] == roots["node"], "left").select(
-        "b", "a", F.col("n_a").alias("n"), "common", "linked", "extra", F.coalesce("root", "a").alias("root"))
+    # a star may hold a third of all documents: its members are dealt by salt as well, and so is its centre
+    odd = exact.filter(~F.col("linked")).select("b").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = exact.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+    rows = salted.join(odd, ["b", "salt"], "left_semi").join(roots, salted["a"] == roots["node"], "left").select(
+        "b", "a", F.col("n_a").alias("n"), "common", "linked", "extra", F.coalesce("root", "a").alias("root"),
+        (F.col("n_a") - F.col("common") - F.size("extra")).alias("behind"))
     rows = staged(rows)
-    named = (lambda side: rows.select("b", *[F.col(c).alias(f"{c}_{side}") for c in ("a", "n", "common", "linked", "extra", "root")]))
+    narrow = ("a", "n", "common", "linked", "root", "behind")
+    # of the extra shingles only the one that a row stands for goes along into the joins
+    named = (lambda side, *more: rows.select("b", *[F.col(c).alias(f"{c}_{side}") for c in narrow], *more))
+    each = F.explode("extra").alias("t")
     x, y = named("x"), named("y").filter(~F.col("linked_y"))
     fits = ((F.col("root_x") != F.col("root_y")) & (F.col("linked_x") | (F.col("a_x") < F.col("a_y")))
             & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")))
     most = F.least("common_x", "common_y")
     # they share shingles that the centre lacks: those met in the prefixes, and at most what lies behind one of them
-    met = y.withColumn("t", F.explode("extra_y")).join(x.withColumn("t", F.explode("extra_x")), ["b", "t"]).filter(fits)
-    behind = F.greatest(*[F.col(f"n_{s}") - F.col(f"common_{s}") - F.size(f"extra_{s}") for s in "xy"])
+    met = named("y", each).filter(~F.col("linked_y")).join(named("x", each), ["b", "t"]).filter(fits)
+    behind = F.greatest("behind_x", "behind_y")
     by_shingle = met.groupBy("b", "a_x", "a_y", "n_x", "n_y", most.alias("most"), behind.alias("behind")).agg(
         F.count(F.lit(1)).alias("shared")).filter(_reaches(F.col("most") + F.col("shared") + F.col("behind"), percent, "n_x", "n_y"))
     # or none, and what they share of the centre is enough alone
