@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankspark.llm import decontaminate, minhash, neighbours, packing, quality, secrets, suffixes, token_counts, token_files, toxicity
+from rankspark.llm import (
+    decontaminate, minhash, neighbours, packing, personal_data, quality, secrets, sql, suffixes, token_counts, token_files,
+    toxicity)
 from rankspark.llm.common import read_table
 
 
@@ -58,9 +60,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return personal_data.personal_digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_token_files, op3_minhash, op4_neighbours, op5_token_counts, op6_packing, op7_secrets,
-    op8_toxicity, op9_suffixes, op10_decontaminate)}
+    op8_toxicity, op9_suffixes, op10_decontaminate, op11_pii)}
 ORACLES = {
     "op3_minhash": r"""
 with recursive texts as (
@@ -94,4 +101,5 @@ scored as (
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
 from scored qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5""",
+    "op11_pii": sql.PERSONAL,
 }
