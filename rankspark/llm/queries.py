@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rankspark.llm import (
-    decontaminate, minhash, neighbours, packing, personal_data, quality, secrets, sql, suffixes, token_counts, token_files,
+    centroids, decontaminate, minhash, neighbours, packing, personal_data, quality, secrets, sql, suffixes, token_counts, token_files,
     toxicity)
 from rankspark.llm.common import read_table
 
@@ -65,9 +65,15 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.personal_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and inertia of every vector after five rounds from 40 starts."""
+    return centroids.cluster_digest(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_token_files, op3_minhash, op4_neighbours, op5_token_counts, op6_packing, op7_secrets,
-    op8_toxicity, op9_suffixes, op10_decontaminate, op11_pii)}
+    op8_toxicity, op9_suffixes, op10_decontaminate, op11_pii,
+    op12_clusters)}
 ORACLES = {
     "op3_minhash": r"""
 with recursive texts as (
@@ -102,4 +108,5 @@ scored as (
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
 from scored qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5""",
     "op11_pii": sql.PERSONAL,
+    "op12_clusters": sql.CLUSTERS,
 }

@@ -77,3 +77,34 @@ listed as (
 select doc_id, {', '.join(f"coalesce(n_{k}, 0) as n_{k}" for k in p.BASE)}, sha256(coalesce(base, '')) as base_sha256,
   coalesce(spans, '') as spans, coalesce(scores, '') as scores
 from t left join listed using (r)"""
+
+
+def _clusters() -> str:
+    """The rounds written out one after the other."""
+    from rankspark.llm.centroids import CLUSTERS, COMPONENTS, ROUNDS, SCALE, SEED
+
+    parts = [f"""
+v as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor({SCALE} * cast(x as double)) as bigint)) as e from embeddings
+  where len(embedding) = {COMPONENTS} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+c0 as materialized (
+  select row_number() over (order by sha256('{SEED}:' || vec_id) nulls last, e) - 1 as k, e from v
+  qualify row_number() over (order by sha256('{SEED}:' || vec_id) nulls last, e) <= {CLUSTERS})"""]
+    for n in range(ROUNDS + 1):
+        parts.append(f"""
+a{n} as materialized (
+  select r, vec_id, v.e, unnest(min_by(struct_pack(k := k, d := d), [d, k])) from (
+    select r, vec_id, v.e, k, list_sum(list_transform(list_zip(v.e, c{n}.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d
+    from v, c{n}) v group by r, vec_id, v.e)""")
+        if n < ROUNDS:
+            parts.append(f"""
+s{n} as (select k, i, sum(e[i])::bigint as s, count(*) as n from (select k, e, unnest(generate_series(1, {COMPONENTS})) as i from a{n}) group by k, i),
+m{n} as (select k, list((s - (((s % n) + n) % n)) // n order by i) as e from s{n} group by k),
+c{n + 1} as materialized (select c{n}.k, coalesce(m{n}.e, c{n}.e) as e from c{n} left join m{n} using (k))""")
+    return "with " + ",".join(parts) + f"""
+select a.vec_id, cast(a.k as int) as cluster, a.d as distance, cast(sum(a.d) over (partition by a.k) as bigint) as cluster_inertia,
+  cast(sum(a.d) over () as bigint) as inertia, sha256(array_to_string(c.e, ',')) as centroid_sha256
+from a{ROUNDS} a join c{ROUNDS} c using (k)"""
+
+
+CLUSTERS = _clusters()
