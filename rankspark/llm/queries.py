@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rankspark.llm import (
-    centroids, decontaminate, minhash, neighbours, packing, personal_data, quality, secrets, sql, suffixes, token_counts, token_files,
-    toxicity)
+    centroids, decontaminate, minhash, neighbours, packing, personal_data, prefix_trie, quality, secrets, sql, suffixes, token_counts,
+    token_files, toxicity)
 from rankspark.llm.common import read_table
 
 
@@ -70,10 +70,15 @@ def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_digest(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_token_files, op3_minhash, op4_neighbours, op5_token_counts, op6_packing, op7_secrets,
     op8_toxicity, op9_suffixes, op10_decontaminate, op11_pii,
-    op12_clusters)}
+    op12_clusters, op13_prefix_trie)}
 ORACLES = {
     "op3_minhash": r"""
 with recursive texts as (
@@ -109,4 +114,5 @@ select query_id, cast(row_number() over (partition by query_id order by score de
 from scored qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5""",
     "op11_pii": sql.PERSONAL,
     "op12_clusters": sql.CLUSTERS,
+    "op13_prefix_trie": sql.TRIE,
 }

@@ -108,3 +108,32 @@ from a{ROUNDS} a join c{ROUNDS} c using (k)"""
 
 
 CLUSTERS = _clusters()
+
+
+#: crc32 of a text's bytes, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+TRIE = f"""
+with turns as materialized (
+  select conv_id, name, points, row_number() over (partition by conv_id order by turn nulls first, name) - 1 as pos from (
+    select conv_id, turn, length(coalesce(text, '')) as points,
+      sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as name from conversations where conv_id is not null)),
+convs as (select distinct conv_id, {_CRC} % 6 as h from turns),
+kept as (
+  select c.conv_id, 0 as part, t.pos, t.name, t.points from convs c join turns t on t.conv_id = c.conv_id - c.conv_id % 100 and t.pos < c.h
+  union all select conv_id, 1, pos, name, points from turns join convs using (conv_id) where pos >= h),
+seqs as materialized (
+  select conv_id, coalesce(list(name order by part, pos) filter (name is not null), []) as names,
+    coalesce(list(points order by part, pos) filter (name is not null), []) as points from convs left join kept using (conv_id) group by conv_id),
+paths as (select conv_id, names[:d] as key, d, len(names) = d as ends, points[d] as last from (select *, unnest(generate_series(0, len(names))) as d from seqs)),
+nodes as materialized (
+  select key, any_value(d) as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(case when d > 0 then last else 0 end) * (count(*) - 1) as own,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) as ends_sha256 from paths group by key),
+children as materialized (select key[:depth - 1] as key, count(*) as n from nodes where depth > 0 group by 1),
+below as (
+  select key[:a] as key, sum(own) as saved, count(*) filter (childless) as leaves from (
+    select n.key, n.own, c.n is null as childless, unnest(generate_series(0, n.depth)) as a from nodes n left join children c using (key)) group by 1)
+select n.conv_id, cast(n.depth as bigint) as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(c.n, 0) as n_children, b.leaves as n_leaves,
+  cast(b.saved as bigint) as saved_tokens, n.ends_sha256
+from nodes n join below b using (key) left join children c using (key) left join nodes p on n.depth > 0 and p.key = n.key[:n.depth - 1]"""
