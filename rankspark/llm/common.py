@@ -31,19 +31,24 @@ def staged(frame: DataFrame) -> DataFrame:
 SLICE_BYTES = 4 << 20
 
 
-def each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """(doc_ids, texts) of slices of every Arrow batch, cut by bytes: what an operator holds for them stays bounded."""
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut by the bytes of their texts: what an operator holds for one of them stays bounded."""
     for batch in batches:
-        at, sizes = 0, pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+        at, sizes = 0, pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes.astype(np.int64))
         while at < len(ends):
             before = int(ends[at - 1]) if at else 0
             stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
-            part = batch.slice(at, stop - at)
-            yield part.column("doc_id").to_pylist(), part.column("text").to_pylist()
+            yield batch.slice(at, stop - at)
             at = stop
 
 
+def each_text(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """(doc_ids, texts) of slices of every Arrow batch."""
+    for part in sliced(batches):
+        yield part.column("doc_id").to_pylist(), part.column("text").to_pylist()
+
+
 def keep_only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is in ``ids``, with their own columns; rows without a doc_id stay.
 

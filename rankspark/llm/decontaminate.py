@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import each_text, texts_of
+from rankspark.llm.common import each_text, sliced, texts_of
 
 SEED, COVERAGE = 5, 0.5
 BLOCK_CHARS = 4 << 20
@@ -216,7 +216,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = Items(shared.value, seed)
-            for batch in batches:
+            for batch in sliced(batches):
                 clean = [not leaks_of(t or "", items, coverage) for t in batch.column("text").to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.llm.common import each_text, texts_of
-from rankspark.llm.sampling import crc_remainder, training_rows
+from rankspark.llm.sampling import crc_remainder, training_rows, usable_labels
 
 WIDTH, DIM, FILTERS, CHUNK = 5, 6, 16, 512
 SAMPLE, MODELS = 4_000, 1
@@ -131,7 +131,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 0, epochs: int = EPOCHS
 def train(texts: DataFrame, labels: DataFrame, sample: int = SAMPLE, models: int = MODELS) -> list[dict]:
     """One model for each shard of the sample; none without usable labels."""
     rows = training_rows(texts, labels, "quality", crc_remainder(3) != 1, sample)
-    shards = max(1, min(models, labels.count() // 2_000))
+    shards = max(1, min(models, usable_labels(labels, "quality", crc_remainder(3) != 1).count() // 2_000)) if models > 1 else 1
     dealt = rows.select("doc_id", "label", "text", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(shards)).alias("shard"))
 
     def learn(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -140,7 +140,7 @@ def train(texts: DataFrame, labels: DataFrame, sample: int = SAMPLE, models: int
         return pd.DataFrame({"shard": [key[0]], **{k: [v.astype("<f4").tobytes()] for k, v in model.items()}})
 
     kinds = "shard long, embed binary, filters binary, bias binary, out binary, last binary"
-    parts = dealt.groupBy("shard").applyInPandas(learn, kinds).orderBy("shard").collect()
+    parts = sorted(dealt.groupBy("shard").applyInPandas(learn, kinds).collect(), key=lambda p: p["shard"])
     shapes = {k: v.shape for k, v in start(0).items()}
     return [{k: np.frombuffer(p[k], "<f4").reshape(s) for k, s in shapes.items()} for p in parts]
 

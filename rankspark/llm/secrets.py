@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import each_text, texts_of
+from rankspark.llm.common import each_text, sliced, texts_of
 
 # The base kinds in their order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex")
@@ -414,7 +414,7 @@ def redacted(docs: DataFrame, limit: int = MAX_LAYER) -> DataFrame:
     names = docs.columns
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             fresh = [t if not t or not (s := scan(t, limit)) else redact(t, s) for t in texts]
             columns = dict(zip(batch.schema.names, batch.columns))

@@ -23,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankspark.llm.common import each_text, texts_of
-from rankspark.llm.sampling import crc_remainder, training_rows
+from rankspark.llm.common import each_text, sliced, texts_of
+from rankspark.llm.sampling import crc_remainder, training_rows, usable_labels
 
 BITS = 20
 SAMPLE, SHARD = 20_000, 2_500
@@ -71,7 +71,7 @@ def train(texts: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np
     rows = training_rows(texts, labels, "toxic", crc_remainder(5) != 0, sample)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [features(t).astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "label": batch.column("label"), "places": pa.array(found, pa.binary())})
@@ -79,7 +79,7 @@ def train(texts: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np
     shards = max(1, round(sample / SHARD))
     made = rows.select("doc_id", "label", "text").mapInArrow(extract, "doc_id long, label int, places binary")
     # few rows make one shard: a shard is worth averaging only when it has enough to learn from
-    many = labels.count()
+    many = usable_labels(labels, "toxic", crc_remainder(5) != 0).count()
     shards = max(1, min(shards, many // SHARD))
     dealt = made.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(shards)))
 
@@ -138,7 +138,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array(scorer([t or "" for t in batch.column("text").to_pylist()]) < 0.5))
 
     return docs.mapInArrow(keep, docs.schema)
