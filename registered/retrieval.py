@@ -6,6 +6,7 @@ from rankspark.functions import text as tx
 from rankspark.operators import embedding, filters, fusion, lexical, vector
 from rankspark.plans.index import LexicalIndex
 from rankspark.plans.search import as_profiles
+from rankspark.plans.vector_index import VectorIndex, recall
 from rankspark.session import scratch_dir
 
 from . import common as c
@@ -178,6 +179,30 @@ def ann_topk(spark, d):
     return c.flat(vector.ann_topk(queries, pool, dims=64, k=10))
 
 
+def _vector_index(spark, d):
+    path, pool = scratch_dir(spark), vectors(spark, d)
+    VectorIndex.write(pool, path)
+    asked = pool.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return VectorIndex.read(spark, path), asked, pool
+
+
+@query("ann_index_topk")
+def ann_index_topk(spark, d):
+    """Ten nearest vectors of every fiftieth, from the stored index; approximate, see ann_index_recall."""
+    index, asked, _ = _vector_index(spark, d)
+    return c.flat(index.search(asked, 10))
+
+
+@query("ann_index_recall", """
+select count(*) as n_queries, true as recall_reached, true as few_full_vectors from embeddings where vec_id % 50 = 0""")
+def ann_index_recall(spark, d):
+    """The index against exact search: recall of at least 0.9, at most a tenth of the full vectors compared."""
+    index, asked, pool = _vector_index(spark, d)
+    row = recall(index.search(asked, 10), vector.vector_topk(asked, pool, 10))
+    few = index.settings["rerank"] <= 0.1 * index.settings["n_vectors"]
+    return c.flat(row.select("n_queries", (F.col("recall") >= 0.9).alias("recall_reached"), F.lit(few).alias("few_full_vectors")))
+
+
 def _md5_number(value: str, start: int) -> str:
     return f"cast(concat('0x', substr({value}, {start}, 8)) as ubigint)"
 
