@@ -115,12 +115,22 @@ def _matches(docs: DataFrame, term_rows: DataFrame, bounded: bool) -> DataFrame:
     )
 
 
-def _positions():
+def idf(n_docs, df):
+    return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+
+
+def gain(weight, tf, dl, avg_dl, k1: float = fixed.BM25_K1, b: float = fixed.BM25_B):
+    """What a term adds to a document's score; grows with tf and falls with dl."""
+    length = F.greatest(dl, F.lit(1)) / avg_dl
+    return weight * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length))
+
+
+def positions():
     """Query positions met, as bits of a long: stays inside the compiled hash aggregate."""
     return F.bit_or(F.expr("shiftleft(1L, pos)"))
 
 
-def _ranked(scored: DataFrame, queries: DataFrame, limit: int, bounded: bool) -> DataFrame:
+def ranked(scored: DataFrame, queries: DataFrame, limit: int, bounded: bool) -> DataFrame:
     """Top hits with their matched terms, named from the positions kept as bits."""
     hits = top_k(scored, ["query_id"], [F.desc("score"), F.asc("id")], limit)
     terms = queries.select("query_id", "terms")
@@ -153,20 +163,19 @@ def bm25(
     statistics = statistics if statistics is not None else term_statistics(docs, term_rows, bounded)
     weighted = term_rows.join(statistics, ["scope", "term"]).select(
         "scope", "term", "query_id", "pos", "avg_dl",
-        F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
+        idf(F.col("n_docs"), F.col("df")).alias("idf"),
     )
     matches = _matches(docs, weighted, bounded)
-    length = F.greatest(F.col("dl"), F.lit(1)) / F.col("avg_dl")
-    gain = F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * length))
+    added = gain(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avg_dl"), k1, b)
     scored = (
         matches.groupBy("query_id", "id")
         .agg(
-            F.round(F.sum(gain), SCORE_DIGITS).alias("score"),
-            _positions().alias("matched"),
+            F.round(F.sum(added), SCORE_DIGITS).alias("score"),
+            positions().alias("matched"),
         )
         .where(F.col("score") > 0)
     )
-    return _ranked(scored, queries, limit, bounded)
+    return ranked(scored, queries, limit, bounded)
 
 
 def or_rank(
@@ -201,6 +210,6 @@ def or_rank(
     scored = (
         _matches(docs, wanted, bounded)
         .groupBy("query_id", "id")
-        .agg(F.round(F.sum("tf") * 0.1, SCORE_DIGITS).alias("score"), _positions().alias("matched"))
+        .agg(F.round(F.sum("tf") * 0.1, SCORE_DIGITS).alias("score"), positions().alias("matched"))
     )
-    return _ranked(scored, queries, limit, bounded)
+    return ranked(scored, queries, limit, bounded)

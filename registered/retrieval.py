@@ -6,6 +6,7 @@ from rankspark.functions import text as tx
 from rankspark.operators import embedding, filters, fusion, lexical, vector
 from rankspark.plans.index import LexicalIndex
 from rankspark.plans.search import as_profiles
+from rankspark.plans.segments import SegmentedIndex
 from rankspark.plans.vector_index import VectorIndex, recall
 from rankspark.session import scratch_dir
 
@@ -73,6 +74,26 @@ def bm25_indexed(spark, d):
     return c.flat(LexicalIndex.read(spark, path).bm25(bench_terms(spark, d)))
 
 
+@query("bm25_incremental", c.BM25 + " select query_id, id, rank, score, matched_terms from bm25")
+def bm25_incremental(spark, d):
+    """The same answer from an index that grew: added in two parts, a fifth of it with other texts that are
+    replaced later, and rows that are deleted again."""
+    pool = c.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = SegmentedIndex(spark, scratch_dir(spark), buckets=8)
+    index.add(pool.where("id % 5 < 2").withColumn("text", F.when(F.col("id") % 5 == 0, F.reverse("text")).otherwise(F.col("text"))))
+    index.add(pool.where("id % 5 <> 1").unionByName(pool.select((-F.col("id") - 1).alias("id"), "text")))
+    index.delete(pool.select((-F.col("id") - 1).alias("id")))
+    return c.flat(index.bm25(bench_terms(spark, d)))
+
+
+@query("bm25_pruned", c.BM25 + " select query_id, id, rank, score, matched_terms from bm25")
+def bm25_pruned(spark, d):
+    """The same answer, scoring only blocks whose bound reaches the last hit."""
+    index = SegmentedIndex(spark, scratch_dir(spark), buckets=8)
+    index.add(c.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return c.flat(index.bm25_pruned(bench_terms(spark, d))[0])
+
+
 _LANGS = ["en", "fr", "de", "es"]
 _SCOPED = f"""
 with {c.BENCH_TERMS}, {c.DOC_TOKENS},

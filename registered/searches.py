@@ -7,8 +7,9 @@ from rankspark.functions.dictionary import extract_skills
 from rankspark.operators import embedding, evidence, lexical, metrics, vector
 from rankspark.plans import ingest, jobs
 from rankspark.plans.parse import parse_jobs
-from rankspark.plans.search import Engine, as_profiles, rank_strategies, search
-from rankspark.session import written
+from rankspark.plans.search import Engine, as_profiles, pool_vectors, rank_strategies, search
+from rankspark.plans.segments import SegmentedIndex
+from rankspark.session import scratch_dir, written
 
 from . import common as c
 from .profiles import asked
@@ -163,6 +164,22 @@ def hybrid_search(spark, d):
         F.col("components.vector.rank").alias("vector_rank"), "total"))
 
 
+@query("hybrid_search_indexed", _HYBRID_SQL + """
+select query_id, id, rank, score, fused, lexical_rank, vector_rank, total from (
+  select *, row_number() over (partition by query_id order by score desc, id) as rank from reranked) where rank <= 20""")
+def hybrid_search_indexed(spark, d):
+    """The same search from a stored index and stored vectors: it tokenises and embeds queries alone."""
+    profiles = document_profiles(spark, d)
+    index = SegmentedIndex(spark, scratch_dir(spark), buckets=8)
+    index.add(profiles.select("id", "text"))
+    stored = written(pool_vectors(profiles, ENGINE).select("id", "embedding"))
+    results = search(bench_queries(spark, d), profiles, ENGINE, vectors=stored, index=index)
+    return c.flat(results.select(
+        "query_id", "id", "rank", "score", F.col("components.fusion.score").alias("fused"),
+        F.col("components.lexical.rank").alias("lexical_rank"),
+        F.col("components.vector.rank").alias("vector_rank"), "total"))
+
+
 _GRADES_SQL = r"""
 lines as (select distinct item_id as query_id, unnest(regexp_extract_all(text, '[^.\n]{12,}')) as line from benchmark),
 dlines as (select distinct doc_id as id, unnest(regexp_extract_all(text, '[^.\n]{12,}')) as line from documents),
