@@ -4,7 +4,7 @@ A dictionary is a small, user-supplied value (hundreds to a few thousand forms).
 the plan as one constant-folded literal, so every function here is a plain projection: texts
 of any number are matched inside the scan stage, with no join and no shuffle.  Exact
 look-ups of single names against a dictionary of any size go through
-``canonicalize`` instead, which is an equi-join.
+``canonicalize`` instead, which is an equi-join, and texts through ``extract_by_table``.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .text import find_all, let, nonblank, nonempty, quote_phrase, tokenize, tri
 
 # A dictionary literal is part of the plan that goes to every task, so its size is checked.
 MAX_FORMS = 20_000
+# Runs of letters and digits by which a table of forms is met.
+GRAM = 3
 
 MENTION_TYPE = "array<struct<canonical:string,matched_alias:string,evidence:string>>"
 _FORM_TYPE = "array<struct<canonical:string,anchor:string,pattern:string>>"
@@ -106,6 +108,11 @@ class SkillDictionary:
             for form, canonical in self.owners().items()
         }
 
+    def form_frame(self, spark: SparkSession) -> DataFrame:
+        """form, canonical, ord - one row per form and skill, as ``extract_by_table`` takes them."""
+        rows = [(form, canonical, i) for i, (form, canonical) in enumerate(self.forms())]
+        return spark.createDataFrame(rows, "form string, canonical string, ord int")
+
     def alias_frame(self, spark: SparkSession) -> DataFrame:
         """form, canonical, category, ord - one row per form."""
         categories = self.categories()
@@ -170,6 +177,15 @@ def extract_skills(text: Column, dictionary: SkillDictionary, max_skills: int =
         ],
         _FORM_TYPE,
     )
+    candidates = let(
+        _present(F.coalesce(text, F.lit("")), [_anchor(form) for form, _ in forms]),
+        lambda hit: F.filter(table, lambda f: F.array_contains(hit, f["anchor"])),
+    )
+    return _accepted(text, candidates, max_skills)
+
+
+def _accepted(text: Column, candidates: Column, max_skills: int) -> Column:
+    """The fold over candidate forms (canonical, pattern), in order."""
     body = F.coalesce(text, F.lit(""))
 
     def line_around(at: Column, size: Column) -> Column:
@@ -206,14 +222,62 @@ def extract_skills(text: Column, dictionary: SkillDictionary, max_skills: int =
             )
         )
 
-    candidates = let(
-        _present(body, [_anchor(form) for form, _ in forms]),
-        lambda hit: F.filter(table, lambda f: F.array_contains(hit, f["anchor"])),
-    )
     start = F.struct(body.alias("rest"), F.array().cast(MENTION_TYPE).alias("found"))
     return F.aggregate(candidates, start, step, lambda state: state["found"])
 
 
+def form_table(forms: DataFrame) -> DataFrame:
+    """gram, rank, canonical, pattern of forms (form, canonical, ord) in a table of any size.
+
+    ``gram`` is a form's first GRAM runs of letters and digits: they stand one after the other in
+    every text that holds the form.  ``rank`` puts longer forms first, then goes by ``ord``.
+    """
+    form = F.lower("form")
+    runs = find_all(form, "[a-z0-9]+")
+    gram = F.when(
+        F.size(runs) == 0, F.raise_error(F.concat(F.lit("a form needs at least one ASCII letter or digit: "), form))
+    ).otherwise(F.array_join(F.slice(runs, 1, GRAM), " "))
+    escaped = F.regexp_replace(form, r"(\p{Punct})", r"\\$1")
+    phrase = F.replace(escaped, F.lit(" "), F.lit(r"\s+"))
+    return forms.where(F.col("form").isNotNull()).select(
+        gram.alias("gram"), F.struct((-F.length(form)).alias("shorter"), F.col("ord").cast("bigint").alias("ord")).alias("rank"),
+        "canonical", F.concat(F.lit("(?i)(?<![a-z0-9])"), phrase, F.lit("(?![a-z0-9])")).alias("pattern"))
+
+
+def _grams(text: Column) -> Column:
+    """All sequences of one to GRAM runs of a text, each once."""
+
+    def joined(runs: Column) -> Column:
+        size, out = F.size(runs), runs
+        every = [runs]
+        for n in range(1, GRAM):
+            left = F.greatest(size - n, F.lit(0))
+            out = F.zip_with(F.slice(out, F.lit(1), left), F.slice(runs, F.lit(n + 1), left), lambda a, b: F.concat(a, F.lit(" "), b))
+            every.append(out)
+        return F.array_distinct(F.concat(*every))
+
+    return let(find_all(F.lower(F.coalesce(text, F.lit(""))), "[a-z0-9]+"), joined)
+
+
+def extract_by_table(
+    rows: DataFrame, forms: DataFrame, max_skills: int = 40, key: str = "id", text: str = "text", out: str = "mentions"
+) -> DataFrame:
+    """``extract_skills`` with the forms (form, canonical, ord) as a table: nothing of them is in the plan.
+
+    The grams of the texts meet the forms' in an equi-join; only the forms met go back to their text,
+    where the same fold decides.  Rows with one key share their candidates, which changes nothing
+    for any of them; rows without a key have no mentions.
+    """
+    table = form_table(forms)
+    grams = rows.select(F.col(key).alias("_key"), F.explode(_grams(F.col(text))).alias("gram")).distinct()
+    met = grams.join(table, "gram").groupBy("_key").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "canonical", "pattern"))).alias("_forms"))
+    none = F.array().cast("array<struct<rank:struct<shorter:int,ord:bigint>,canonical:string,pattern:string>>")
+    joined = rows.join(met, F.col(key) == F.col("_key"), "left").drop("_key")
+    found = _accepted(F.col(text), F.coalesce("_forms", none), max_skills)
+    return joined.withColumn(out, found).drop("_forms")
+
+
 def expand_skills(names: Column, dictionary: SkillDictionary) -> Column:
     """Names plus their related skills, order kept.
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from rankspark.functions import fixed, text as tx
 from rankspark.functions.dictionary import (
     canonical_label, canonicalize, detect_domain, detect_domains, detect_seniority, expand_skills,
-    extract_skills, find_location, normalize_title,
+    extract_by_table, extract_skills, find_location, normalize_title,
 )
 from rankspark.plans.ingest import embedding_text, parse_profiles, search_text
 from rankspark.plans.jobs import job_queries
@@ -164,6 +164,20 @@ def dict_extract(spark, d):
         names(c.people_texts(spark, d), "id", "person", c.SAMPLE, 3))
 
 
+@query("dict_extract_table", f"""
+select 'document' as kind, doc_id as id, array_to_string({c.sql_extract('text', c.PROSE, 40)}, ',') as skills from documents
+union all
+select 'person', id, array_to_string({c.sql_extract('text', c.SAMPLE, 3)}, ',') from (with {c.PEOPLE_TEXT_SQL} select * from people_text)""")
+def dict_extract_table(spark, d):
+    """The same mentions with the forms in a table instead of the plan."""
+    def names(frame, kind, dictionary, cap):
+        found = extract_by_table(frame, dictionary.form_frame(spark), cap)
+        return found.select(F.lit(kind).alias("kind"), "id", F.array_join("mentions.canonical", ",").alias("skills"))
+    texts = c.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    people = c.people_texts(spark, d).select("id", "text")
+    return names(texts, "document", c.PROSE, 40).unionByName(names(people, "person", c.SAMPLE, 3))
+
+
 _PADDED = "' ' || lower(title) || ' '"
 _TITLES_SQL = f"""titles as (select c_custkey as id, {c.sql_pick(c.HEADLINES, 'c_custkey')} as title from customer
   union all select -1 - doc_id, text from documents)"""
