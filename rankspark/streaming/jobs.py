@@ -9,6 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.dictionary import SkillDictionary
 from ..operators.embedding import Embedder
 from ..plans.ingest import accepted, parse_profiles, rejects
+from ..sources.keyed import KeyedTable
+
+HASHES = "content_hash string, batch bigint, id string"
 
 
 def ingest_stream(
@@ -22,23 +25,24 @@ def ingest_stream(
     """Parse arriving texts (id, text) and append profiles, vectors and rejects.
 
     A batch writes into folders named by its number, so a batch that is repeated after a
-    failure replaces its own output.  Texts already ingested (same content hash) are skipped
-    by an anti-join with the hashes of earlier batches.
+    failure replaces its own output.  Of the texts with one content, the first batch that has it
+    keeps the smallest id; their hashes are in a table dealt by the hash, of which a batch reads
+    and rewrites only the folders of its own.
     """
-    spark = texts.sparkSession
-
     def write(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         parsed_path = f"{path}/parsed/batch={number}"
         parse_profiles(batch, dictionary).write.mode("overwrite").parquet(parsed_path)
         parsed = session.read.parquet(parsed_path)
-        good = accepted(parsed).dropDuplicates(["content_hash"])
-        earlier = hashes_before(session, f"{path}/profiles", number)
-        if earlier is not None:
-            good = good.join(earlier, "content_hash", "left_anti")
+        hashes = KeyedTable(session, f"{path}/hashes", HASHES, "content_hash")
+        good = first_of_content(accepted(parsed))
+        # a batch that is repeated finds its own hashes: only those of others are known
+        known = hashes.lookup(good).where(F.col("batch") != number).select("content_hash")
+        good = good.join(known, "content_hash", "left_anti")
         profiles_path = f"{path}/profiles/batch={number}"
         good.drop("reject_reason").write.mode("overwrite").parquet(profiles_path)
         fresh = session.read.parquet(profiles_path)
+        hashes.upsert(fresh.select("content_hash", F.lit(number).cast("bigint").alias("batch"), F.col("id").cast("string").alias("id")))
         vectors = embedder(fresh.select("id", F.col("embedding_text").alias("text")))
         vectors.withColumn("model", F.lit(model)).write.mode("overwrite").parquet(
             f"{path}/vectors/batch={number}"
@@ -53,11 +57,11 @@ def ingest_stream(
     )
 
 
-def hashes_before(spark, path: str, number: int) -> DataFrame | None:
-    """Content hashes written by batches before ``number``; None before the first."""
-    if number == 0:
-        return None
-    return spark.read.parquet(path).where(F.col("batch") < number).select("content_hash")
+def first_of_content(profiles: DataFrame) -> DataFrame:
+    """Of the rows with one content hash the one with the smallest id, by a combining aggregate."""
+    row = F.struct(*[F.col(c) for c in profiles.columns])
+    picked = profiles.groupBy("content_hash").agg(F.min_by(row, F.struct("id", "content_hash")).alias("_row"))
+    return picked.select("_row.*")
 
 
 def event_windows(

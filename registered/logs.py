@@ -9,6 +9,7 @@ from rankspark.operators import embedding
 from rankspark.plans import ingest
 from rankspark.session import scratch_dir
 from rankspark.sources import tables
+from rankspark.sources.keyed import KeyedTable
 from rankspark.streaming import jobs
 
 from . import common as c
@@ -168,6 +169,18 @@ def vector_upsert(spark, d):
     return ingest.upsert_by_id(old, new)
 
 
+@query("vector_upsert_keyed", """
+select doc_id as id, case when doc_id % 3 = 0 then 'new' else 'old' end as content_hash from documents where doc_id % 7 <> 5""")
+def vector_upsert_keyed(spark, d):
+    """The same in a stored table: only the folders of changed keys are rewritten; a seventh is deleted again."""
+    docs = c.table(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    stored = KeyedTable(spark, scratch_dir(spark), "id bigint, content_hash string", partitions=8)
+    stored.upsert(docs.where("id % 3 <> 0 or id % 2 = 0").withColumn("content_hash", F.lit("old")))
+    stored.upsert(docs.where("id % 3 = 0").withColumn("content_hash", F.lit("new")))
+    stored.delete(docs.where("id % 7 = 5"))
+    return stored.rows()
+
+
 # --- streams ------------------------------------------------------------------------------
 @query("stream_event_windows", """
 select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n_events, round(sum(value), 4) as sum_value from events group by 1, 2""")
@@ -193,11 +206,23 @@ def stream_event_windows(spark, d):
         "n_events", F.round("sum_value", 4).alias("sum_value"))
 
 
+@query("stream_ingest_rows", """
+select min(doc_id) as id from documents where len(trim(text, E' \\t\\n\\r')) >= 30
+  and regexp_matches(text, '(?i)(^|[^a-z0-9])(the|of|and|der|und|la|et|que|in|is|be|was|a|this|that|r|n)($|[^a-z0-9])') group by text""")
+def stream_ingest_rows(spark, d):
+    """The rows of the stream below: the smallest id of each text stays."""
+    return _ingested(spark, d).select("id")
+
+
 @query("stream_ingest", """
 select count(distinct text) as n_texts from documents where len(trim(text, E' \\t\\n\\r')) >= 30
   and regexp_matches(text, '(?i)(^|[^a-z0-9])(the|of|and|der|und|la|et|que|in|is|be|was|a|this|that|r|n)($|[^a-z0-9])')""")
 def stream_ingest(spark, d):
     """Documents arrive as a stream; profiles with new content are kept."""
+    return _ingested(spark, d).agg(F.count(F.lit(1)).alias("n_texts"))
+
+
+def _ingested(spark, d):
     schema = spark.read.parquet(f"{d}/documents.parquet").schema
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
     texts = docs.select(F.col("doc_id").alias("id"), "text")
@@ -206,5 +231,4 @@ def stream_ingest(spark, d):
         texts, f"{path}/out", f"{path}/checkpoint", c.PROSE,
         embedding.hash_embedder(c.PROSE, digest="md5"),
     ).awaitTermination()
-    return spark.read.parquet(f"{path}/out/profiles").agg(
-        F.count(F.lit(1)).alias("n_texts"))
+    return spark.read.parquet(f"{path}/out/profiles")
