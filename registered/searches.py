@@ -7,6 +7,7 @@ from rankspark.functions.dictionary import extract_skills
 from rankspark.operators import embedding, evidence, lexical, metrics, vector
 from rankspark.plans import ingest, jobs
 from rankspark.plans.parse import parse_jobs
+from rankspark.plans.saved import SavedSearches
 from rankspark.plans.search import Engine, as_profiles, pool_vectors, rank_strategies, search
 from rankspark.plans.segments import SegmentedIndex
 from rankspark.session import scratch_dir, written
@@ -180,6 +181,27 @@ def hybrid_search_indexed(spark, d):
         F.col("components.vector.rank").alias("vector_rank"), "total"))
 
 
+@query("saved_rerun", f"""
+with {c.DOC_TOKENS}, vd as (select id, toks from dt), vq as (select item_id as id, {c.sql_tokens('text')} as toks from benchmark),
+{sql_embedding('vd', name='de')}, {sql_embedding('vq', name='qe')},
+sims as (select q.id as saved_id, p.id, round(sum(q.value * p.value), 6) as score from qe q join de p using (bucket) group by q.id, p.id),
+allsims as (select item_id as saved_id, vd.id, coalesce(score, 0) as score from benchmark cross join vd left join sims on saved_id = item_id and sims.id = vd.id)
+select saved_id, rank, id, score from (select *, row_number() over (partition by saved_id order by score desc, id) as rank from allsims) where rank <= 50""")
+def saved_rerun(spark, d):
+    """Passages saved as searches: run over two thirds of the documents, then again when the rest has come
+    and some have left; the second run searches what is new and equals a full one."""
+    engine = Engine(c.SAMPLE, embedding.hash_embedder(c.SAMPLE, digest="md5", value_type="double"))
+    own = SavedSearches(spark, scratch_dir(spark), engine, partitions=8)
+    own.create(c.table(spark, d, "benchmark").select(
+        F.col("item_id").alias("saved_id"), F.lit("passage").alias("name"), F.col("text").alias("raw")))
+    profiles = document_profiles(spark, d)
+    stored = pool_vectors(profiles, engine).select("id", "embedding", F.when(F.col("id") % 3 < 2, 1).otherwise(2).cast("bigint").alias("version"))
+    pool = written(stored)
+    passing = pool.where("id % 97 = 0").withColumn("id", -F.col("id") - 1).withColumn("version", F.lit(1).cast("bigint"))
+    own.rerun(pool.where("version = 1").unionByName(passing))
+    return c.flat(own.rerun(pool))
+
+
 _GRADES_SQL = r"""
 lines as (select distinct item_id as query_id, unnest(regexp_extract_all(text, '[^.\n]{12,}')) as line from benchmark),
 dlines as (select distinct doc_id as id, unnest(regexp_extract_all(text, '[^.\n]{12,}')) as line from documents),
