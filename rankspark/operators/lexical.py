@@ -20,6 +20,8 @@ from ..functions.text import tokenize
 from .shape import lookup_join, rows_at_most, scope_of, top_k
 
 SCORE_DIGITS = 6
+# Terms of a query that the bits of one long can name.
+MASK_TERMS = 62
 
 
 def tokenized(
@@ -40,7 +42,7 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def query_term_rows(queries: DataFrame) -> DataFrame:
-    """(scope, query_id, pos, term) from queries with a ``terms`` array of at most 62 terms."""
+    """(scope, query_id, pos, term) from queries with a ``terms`` array."""
     return queries.select(
         scope_of(queries, "query_id"), "query_id", F.posexplode("terms").alias("pos", "term")
     )
@@ -125,21 +127,28 @@ def gain(weight, tf, dl, avg_dl, k1: float = fixed.BM25_K1, b: float = fixed.BM2
     return weight * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length))
 
 
-def positions():
-    """Query positions met, as bits of a long: stays inside the compiled hash aggregate."""
-    return F.bit_or(F.expr("shiftleft(1L, pos)"))
+def many_terms(queries: DataFrame) -> bool:
+    """Whether some query has more terms than a long has bits to name them by."""
+    return not rows_at_most(queries.where(F.size("terms") > MASK_TERMS), 0)
+
+
+def positions(many: bool = False):
+    """Query positions met: bits of a long, which stay inside the compiled aggregate, or a set of numbers."""
+    return F.collect_set("pos") if many else F.bit_or(F.expr("shiftleft(1L, pos)"))
 
 
 def ranked(scored: DataFrame, queries: DataFrame, limit: int, bounded: bool) -> DataFrame:
-    """Top hits with their matched terms, named from the positions kept as bits."""
+    """Top hits with their matched terms, named from the positions kept."""
     hits = top_k(scored, ["query_id"], [F.desc("score"), F.asc("id")], limit)
     terms = queries.select("query_id", "terms")
     terms = F.broadcast(terms) if bounded else terms
-    bit = F.when(F.size("terms") > 62, F.raise_error(F.lit("at most 62 terms per query")))
-    positions = F.coalesce(bit.cast("bigint"), F.col("matched"))
+    met = F.col("matched")
+    if scored.schema["matched"].dataType.typeName() == "array":
+        held = (lambda i: F.array_contains(met, i))
+    else:
+        held = (lambda i: F.getbit(met, i) == 1)
     return hits.join(terms, "query_id").select(
-        "query_id", "id", "rank", "score",
-        F.filter("terms", lambda t, i: F.getbit(positions, i) == 1).alias("matched_terms"),
+        "query_id", "id", "rank", "score", F.filter("terms", lambda t, i: held(i)).alias("matched_terms"),
     )
 
 
@@ -171,7 +180,7 @@ def bm25(
         matches.groupBy("query_id", "id")
         .agg(
             F.round(F.sum(added), SCORE_DIGITS).alias("score"),
-            positions().alias("matched"),
+            positions(many_terms(queries)).alias("matched"),
         )
         .where(F.col("score") > 0)
     )
@@ -210,6 +219,6 @@ def or_rank(
     scored = (
         _matches(docs, wanted, bounded)
         .groupBy("query_id", "id")
-        .agg(F.round(F.sum("tf") * 0.1, SCORE_DIGITS).alias("score"), positions().alias("matched"))
+        .agg(F.round(F.sum("tf") * 0.1, SCORE_DIGITS).alias("score"), positions(many_terms(queries)).alias("matched"))
     )
     return ranked(scored, queries, limit, bounded)
