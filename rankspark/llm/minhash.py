@@ -15,9 +15,9 @@ agree with the probability of the sets' similarity.
 4. What is left is confirmed on the full shingle sets.  A second round does the same with those that the
    centre of their band does not link.
 5. Two members x, y of the star of a centre p can still be linked unseen if p does not link y.  They then
-   either share shingles that p lacks, and are found by a join on the first of those (a prefix filter), or
-   share only shingles of p, which bounds the size of x by that of y's part in p, and are found by a join
-   on size classes.  Pairs that a component already has are left out; the others go through 3 and 4.
+   either share shingles that p lacks, and are found by a join on the first of those (a prefix filter, the
+   rarest of the star first, with what can follow bounded by the places), or share only shingles of p,
+   which bounds the size of x by that of y's part in p, and are found by a join on size classes.  Pairs that a component already has are left out; the others go through 3 and 4.
 6. Links make components; a class follows its representative.
 
 Similarity is compared as integers: 100 * intersection >= percent * union.
@@ -185,19 +185,15 @@ def estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
-    """Pairs (a, b) with their sizes, common shingles, ``linked``, and ``extra``: the first of a's shingles
-    that b lacks, in the order of their hashes, as many as must hold one that any link of a shares."""
+    """Pairs (a, b) with their sizes, common shingles, ``linked``, and ``extra``: a's shingles that b lacks."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = staged(shingle_sets(texts.join(ids, texts["doc_id"] == ids["id"], "left_semi"), words))
     side = (lambda n: sets.select(F.col("doc_id").alias(n), F.col("members").alias(f"m_{n}")))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.select("a", "b", F.size("m_a").cast("long").alias("n_a"), F.size("m_b").cast("long").alias("n_b"),
-                       F.array_sort(F.array_except("m_a", "m_b")).alias("extra"))
+                       F.array_except("m_a", "m_b").alias("extra"))
     both = both.withColumn("common", F.col("n_a") - F.size("extra"))
-    shared = F.greatest(F.lit(1), F.ceil(F.col("n_a") * percent / 100) - F.col("common"))
-    prefix = F.greatest(F.lit(0), F.size("extra") - shared + 1).cast("int")
-    return both.select("a", "b", "n_a", "n_b", "common", _reaches(F.col("common"), percent).alias("linked"),
-                       F.slice("extra", F.lit(1), prefix).alias("extra"))
+    return both.select("a", "b", "n_a", "n_b", "common", _reaches(F.col("common"), percent).alias("linked"), "extra")
 
 
 def _reaches(common, percent: int, n_a: str = "n_a", n_b: str = "n_b"):
@@ -221,22 +217,29 @@ def _unseen(exact: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     odd = exact.filter(~F.col("linked")).select("b").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = exact.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
     rows = salted.join(odd, ["b", "salt"], "left_semi").join(roots, salted["a"] == roots["node"], "left").select(
-        "b", "a", F.col("n_a").alias("n"), "common", "linked", "extra", F.coalesce("root", "a").alias("root"),
-        (F.col("n_a") - F.col("common") - F.size("extra")).alias("behind"))
-    rows = staged(rows)
-    narrow = ("a", "n", "common", "linked", "root", "behind")
+        "b", "a", F.col("n_a").alias("n"), "common", "linked", "extra", F.coalesce("root", "a").alias("root"))
+    rows = staged(rows.withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100) - F.col("common"))))
+    # a link of a member shares at least ``need`` of its extra shingles, so one of the rarest of the star among them
+    # stands before the last need - 1: with frequent ones last, few members meet
+    each = rows.select("b", "a", F.explode("extra").alias("t"))
+    often = each.groupBy("b", "t").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    shared = each.join(often, ["b", "t"]).groupBy("b", "a").agg(F.array_sort(F.collect_list(F.struct("often", "t"))).alias("met"))
+    ahead = F.greatest(F.lit(0), F.size("met") - F.col("need") + 1).cast("int")  # those that no other member has go first
+    rows = rows.drop("extra").join(shared, ["b", "a"], "left").withColumn("met", F.coalesce("met", F.array().cast("array<struct<often:bigint,t:bigint>>")))
+    rows = staged(rows.withColumn("prefix", F.slice("met.t", F.lit(1), ahead)).withColumn(
+        "many", F.size("met").cast("long")).drop("met", "need"))
+    narrow = ("a", "n", "common", "linked", "root", "many")
     # of the extra shingles only the one that a row stands for goes along into the joins
     named = (lambda side, *more: rows.select("b", *[F.col(c).alias(f"{c}_{side}") for c in narrow], *more))
-    each = F.explode("extra").alias("t")
+    each = (lambda side: F.posexplode("prefix").alias(f"at_{side}", "t"))
     x, y = named("x"), named("y").filter(~F.col("linked_y"))
     fits = ((F.col("root_x") != F.col("root_y")) & (F.col("linked_x") | (F.col("a_x") < F.col("a_y")))
             & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")))
     most = F.least("common_x", "common_y")
-    # they share shingles that the centre lacks: those met in the prefixes, and at most what lies behind one of them
-    met = named("y", each).filter(~F.col("linked_y")).join(named("x", each), ["b", "t"]).filter(fits)
-    behind = F.greatest("behind_x", "behind_y")
-    by_shingle = met.groupBy("b", "a_x", "a_y", "n_x", "n_y", most.alias("most"), behind.alias("behind")).agg(
-        F.count(F.lit(1)).alias("shared")).filter(_reaches(F.col("most") + F.col("shared") + F.col("behind"), percent, "n_x", "n_y"))
+    # they share shingles that the centre lacks: then the first of those in the order, and at most what stands behind it
+    left = F.least(*[F.col(f"many_{s}") - F.col(f"at_{s}") for s in "xy"])
+    met = named("y", each("y")).filter(~F.col("linked_y")).join(named("x", each("x")), ["b", "t"])
+    by_shingle = met.filter(fits & _reaches(most + left, percent, "n_x", "n_y"))
     # or none, and what they share of the centre is enough alone
     size_class = (lambda n: F.floor(F.log(n) * 50).cast("int"))
     largest = F.floor(F.col("common_y") * (100 + percent) / percent).cast("long") - F.col("n_y")
