@@ -122,6 +122,7 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]], seed: int = SEED):
         self.seed = seed
         self.items = [(k, w) for k, t in rows if len(w := words(t or ""))]
+        self.sizes = np.array([len(w) for _, w in self.items], np.int64)
         found: dict[int, list[tuple[np.ndarray, int]]] = {}
         for at, (_, w) in enumerate(self.items):
             size = min(seed, len(w))
@@ -140,19 +141,20 @@ class Items:
         for size, (keys, owner, place) in self.index.items():
             if len(doc) < size:
                 continue
-            mine = seeds(doc, size)
-            at = np.searchsorted(keys, mine)
-            mine = np.unique(mine[keys[np.minimum(at, len(keys) - 1)] == mine])
-            if not len(mine):
+            mine = np.unique(seeds(doc, size))
+            low, high = np.searchsorted(keys, mine), np.searchsorted(keys, mine, side="right")
+            many = high - low
+            if not (total := int(many.sum())):
                 continue
-            hit = np.isin(keys, mine)
-            for k in np.unique(owner[hit]):
-                places = place[hit & (owner == k)]
-                under = np.zeros(len(self.items[k][1]), bool)
-                for step in range(size):
-                    under[places + step] = True
-                if under.sum() >= coverage * len(under):
-                    out.append(int(k))
+            hits = np.repeat(low - np.cumsum(many) + many, many) + np.arange(total)
+            order = np.lexsort((place[hits], owner[hits]))
+            who, at = owner[hits][order], place[hits][order]
+            first = np.flatnonzero(np.diff(who, prepend=-1))
+            # words from each hit to the item's next one, a whole seed at most and behind the last hit
+            step = np.minimum(np.diff(at, append=0), size)
+            step[np.append(first[1:], total) - 1] = size
+            under = np.add.reduceat(step, first)
+            out += who[first][under >= coverage * self.sizes[who[first]]].tolist()
         return out
 
 

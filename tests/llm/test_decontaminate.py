@@ -1,5 +1,7 @@
 """Greedy string tiling against a plain version, and planted test items."""
 
+import time
+
 from helpers import documents, invented, odd_documents, seeded
 
 from rankspark.llm import decontaminate as d
@@ -48,6 +50,40 @@ def test_tiles():
             assert sum(n for _, _, n in got) == sum(plain_tiles(item, doc, 3))
 
 
+def plain_candidates(items, doc, coverage):
+    """Items with enough words under seeds of the document, one item after the other."""
+    found = []
+    for k, (_, item) in enumerate(items.items):
+        size = min(items.seed, len(item))
+        mine = set(d.seeds(doc, size).tolist()) if len(doc) >= size else set()
+        under = {at + step for at, h in enumerate(d.seeds(item, size).tolist()) if h in mine for step in range(size)}
+        if under and len(under) >= coverage * len(item):
+            found.append(k)
+    return found
+
+
+def test_candidates():
+    rng = seeded(7)
+    for turn in range(80):
+        kinds = "abc" if turn % 2 else "abcdefghij"
+        some = lambda n: " ".join(rng.choice(kinds) for _ in range(n))
+        items = d.Items([(k, some(rng.randint(0, 20))) for k in range(12)], 3)
+        doc = d.words(some(rng.randint(0, 40)))
+        for coverage in (0.2, 0.5, 1.0):
+            assert sorted(items.candidates(doc, coverage)) == plain_candidates(items, doc, coverage)
+
+
+def test_many_items_with_one_opening():
+    rng = seeded(8)
+    opening = invented(rng, 10)
+    items = d.Items([(k, f"{opening} {invented(rng, 30)}") for k in range(16_000)])
+    text = f"{invented(rng, 200)} {opening} {invented(rng, 60)} {' '.join(['the same words again'] * 10)}"
+    start = time.perf_counter()
+    for _ in range(10):
+        assert d.leaks_of(text, items) == []
+    assert time.perf_counter() - start < 3  # a tenth of a second each, with room; by items it took ten seconds each
+
+
 def test_planted_items(spark):
     rng = seeded(5)
     items = [(k, invented(rng, 40)) for k in range(12)] + [(50, "tiny one"), (51, None), (52, "..."), (53, ""), (None, invented(rng, 20))]
