@@ -3,8 +3,8 @@
 Documents are range-partitioned by ``doc_id``; each task writes its stream of ids as one file of
 equal-length sequences (``ids``: fixed-size list of unsigned integers as wide as the vocabulary
 needs, ``mask``: fixed-size list of booleans, false on the padding of the last sequence) and one
-file with an index (doc_id, start, n_tokens).  Both can be memory-mapped: sequence ``i`` is a slice
-of the values buffer, without copying.
+file with an index (doc_id, start, n_tokens).  Local files are memory-mapped: ``TokenFile.sequence(i)`` is a
+slice of the values buffer of one batch, without copying.
 
 A file's name has the task attempt in it and is in the manifest only if that attempt was committed,
 so a lost executor's half-written file is never read.
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,17 +119,54 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
     return staged(ordered.mapInArrow(write, MANIFEST))
 
 
-def read_sequences(fs, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, mask), both sequences x length.  Ids of a local file are views of the mapped file."""
-    from pyarrow import fs as arrow_fs
+class TokenFile:
+    """One file, opened: sequences by number and runs of ids, all views of the Arrow buffers.
 
-    source = pa.memory_map(path) if isinstance(fs, arrow_fs.LocalFileSystem) else fs.open_input_file(path)
-    table = pa.ipc.open_stream(source).read_all()
-    length = table.schema.field("ids").type.list_size
-    ids = [c.values.to_numpy() for c in table.column("ids").chunks]
-    masks = [c.values.to_numpy(zero_copy_only=False) for c in table.column("mask").chunks]
-    flat = (lambda parts, kind: parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, kind))
-    return flat(ids, np.uint32).reshape(-1, length), flat(masks, bool).reshape(-1, length)
+    A local file is memory-mapped, so that opening it reads the heads of its batches alone; files of other
+    stores are held in memory as they are.  Nothing is joined or copied.
+    """
+
+    def __init__(self, fs, path: str):
+        from pyarrow import fs as arrow_fs
+
+        source = pa.memory_map(path) if isinstance(fs, arrow_fs.LocalFileSystem) else fs.open_input_file(path)
+        with pa.ipc.open_stream(source) as stream:
+            self.length = stream.schema.field("ids").type.list_size
+            self.dtype = np.dtype(stream.schema.field("ids").type.value_type.to_pandas_dtype())
+            self.batches = list(stream)
+        #: Number of the first sequence of each batch, and of all sequences.
+        self.firsts = np.cumsum([0, *(b.num_rows for b in self.batches)])
+
+    def __len__(self) -> int:
+        return int(self.firsts[-1])
+
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """(ids, mask) of sequence ``i``; an IndexError if there is none."""
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        k = int(np.searchsorted(self.firsts, i, side="right")) - 1
+        ids, mask = (self.batches[k].column(c)[i - int(self.firsts[k])].values for c in ("ids", "mask"))
+        return ids.to_numpy(), mask
+
+    def n_tokens(self) -> int:
+        """Ids under the masks."""
+        return sum(pc.sum(b.column("mask").flatten()).as_py() or 0 for b in self.batches)
+
+    def parts(self, start: int, stop: int) -> Iterator[np.ndarray]:
+        """The ids from place ``start`` to ``stop`` of the file, batch by batch."""
+        k = int(np.searchsorted(self.firsts, start // self.length, side="right")) - 1
+        while start < stop:
+            flat, before = self.batches[k].column("ids").flatten(), int(self.firsts[k]) * self.length
+            part = flat.slice(start - before, stop - start).to_numpy()
+            yield part
+            start, k = start + len(part), k + 1
+
+
+def _checksum(parts: Iterator[np.ndarray]) -> int:
+    crc = 0
+    for ids in parts:
+        crc = zlib.crc32(ids.astype("<u4").tobytes(), crc)
+    return crc
 
 
 def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
@@ -138,14 +176,13 @@ def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
         fs, _ = _open_fs(folder)
         for batch in batches:
             for row in batch.to_pylist():
-                ids, mask = read_sequences(fs, row["path"])
-                if int(mask.sum()) != row["n_tokens"]:
-                    raise ValueError(f"{row['path']} has {int(mask.sum())} ids, its manifest {row['n_tokens']}")
-                flat = ids.reshape(-1)
+                held = TokenFile(fs, row["path"])
+                if (n := held.n_tokens()) != row["n_tokens"]:
+                    raise ValueError(f"{row['path']} has {n} ids, its manifest {row['n_tokens']}")
                 with fs.open_input_file(row["index_path"]) as source:
                     for part in pa.ipc.open_stream(source):
                         starts, counts = (part.column(c).to_numpy() for c in ("start", "n_tokens"))
-                        sums = [zlib.crc32(flat[a: a + n].astype("<u4").tobytes()) for a, n in zip(starts, counts)]
+                        sums = [_checksum(held.parts(a, a + n)) for a, n in zip(starts.tolist(), counts.tolist())]
                         yield pa.RecordBatch.from_pydict({
                             "doc_id": part.column("doc_id"), "start": pa.array(starts + row["base"], pa.int64()),
                             "n_tokens": part.column("n_tokens"), "ids_crc32": pa.array(sums, pa.int64())})

@@ -72,13 +72,42 @@ def test_token_files(spark, tmp_path):
     for f in manifest.orderBy("file").collect():
         table = pa.ipc.open_stream(pa.memory_map(f.path)).read_all()
         assert pa.types.is_fixed_size_list(table.schema.field("ids").type)
-        ids, mask = token_files.read_sequences(fs.LocalFileSystem(), f.path)
-        assert ids.shape == mask.shape and ids.shape[1] == 64 and mask[:-1].all()
-        flat += ids[mask].tolist()
+        held = token_files.TokenFile(fs.LocalFileSystem(), f.path)
+        for i in range(len(held)):
+            ids, mask = held.sequence(i)
+            mask = np.array(mask.to_pylist())
+            assert ids.shape == mask.shape == (64,) and (mask.all() or i == len(held) - 1)
+            flat += ids[mask].tolist()
     assert flat == whole
     assert token_files.token_output(documents(spark, [])).count() == 0
 
 
+def test_sequences_are_views(tmp_path):
+    from pyarrow import fs
+
+    path, rng = str(tmp_path / "ids.arrow"), np.random.default_rng(1)
+    ids = rng.integers(0, 49_000, 8 * 700 + 3).astype("<u2")
+    with pa.OSFile(path, "wb") as sink:  # 300 sequences at once make a batch of 256 and one of 44
+        writer = token_files._SequenceWriter(sink, ids.dtype, 8)
+        for part in (ids[:2400], ids[2400:2405], ids[2405:]):
+            writer.add(part.tobytes())
+        writer.close()
+    held = token_files.TokenFile(fs.LocalFileSystem(), path)
+    assert len(held) == 701 and len(held.batches) > 2 and held.n_tokens() == len(ids)
+    for i in (0, 255, 256, 299, 300, 699, 700):
+        got, mask = held.sequence(i)
+        n = min(8, len(ids) - 8 * i)
+        assert got[:n].tolist() == ids[8 * i: 8 * i + n].tolist() and mask.to_pylist() == [True] * n + [False] * (8 - n)
+        assert not got.flags.owndata and any(  # it lies in a batch's own buffer
+            b.column("ids").values.buffers()[1].address <= got.ctypes.data < b.column("ids").values.buffers()[1].address
+            + b.column("ids").values.buffers()[1].size for b in held.batches)
+    for a, b in ((0, len(ids)), (5, 5), (2040, 2060), (2399, 2401), (4000, len(ids)), (8, 9)):
+        assert [int(x) for part in held.parts(a, b) for x in part] == ids[a:b].tolist()
+    for i in (-1, 701):
+        with pytest.raises(IndexError):
+            held.sequence(i)
+
+
 def test_token_counts(spark):
     coder = encoder(vocabulary(NAME))
     got = token_counts.token_counts(odd_documents(spark, ROWS), limit=5, with_prefixes=True).collect()
