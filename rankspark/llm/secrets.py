@@ -19,8 +19,13 @@ for each of its characters which span of the original text it came from (``_Laye
 in a layer is reported at the original span that carries it, with the path of the encodings before its
 kind, as in ``url/assign`` or ``base64+gzip/access``.
 
-Decompression is held to ``MAX_LAYER`` bytes a layer to bound memory; what would be longer is not
-passed over in silence but reported as ``oversized`` at its span.
+A chain of more than ``DEEP`` escaped escape characters (``%252525..``, ``\\u005cu005c..``, ``&#38;#38;..`` or a mix)
+is taken to its end in one step, ``deep`` in the path: the layers in between would only shorten what
+was scanned before.
+
+A layer of more than ``MAX_LAYER`` decompressed bytes is never held as a whole: it is read in windows that
+overlap, each with all that is encoded in it, and also reported as ``oversized`` at its span, since an encoded
+part longer than the overlap is read up to the end of its window only.
 
 Edge cases: null and empty texts have no spans; a row with a null doc_id is scanned like any other;
 repeated rows give repeated results; an empty table gives no rows; other columns are ignored.
@@ -53,9 +58,14 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so shorter ones can be l
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 
 MAX_LAYER = 64 << 20
+DEEP = 8
 _KEYWORDS = ("password", "passwd", "secret", "token", "api")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+# Escapes of the characters that begin escapes; which of them follow on each other is for ``_chained`` to see.
+_CHAIN = re.compile(
+    r"[%%\\&](?:25|5[cC]|26|u00(?:25|5[cC]|26)|x(?:25|5[cC]|26)|#0{0,3}(?:37|92|38);|#[xX]0{0,3}(?:25|5[cC]|26);){%d,}+" % (DEEP + 1))
+_LINK = {"%": re.compile(r"[0-9A-Fa-f]{2}"), "\\": re.compile(r"u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}"), "&": re.compile(r"#[0-9]+;|#[xX][0-9A-Fa-f]+;")}
 # What a short layer must have to be worth a scan, and text in two-byte characters.
 _WORTH = re.compile(r"password|passwd|secret|token|api|AKIA|[0-9a-f]{32}|%[0-9a-f]{2}|\\[ux]|&#|[a-z0-9+/_\s-]{16}", re.IGNORECASE | re.ASCII)
 _WIDE = re.compile(rb"(?:[\t-~]\x00){8}")
@@ -157,6 +167,18 @@ def _escape(run: str) -> str | None:
     return got if (got := "".join(out)) != run else None
 
 
+def _chained(run: str) -> str | None:
+    """The run with the chain of escapes at its front decoded to the end; None if it is no longer than ``DEEP``."""
+    now, at, links = run[0], 1, 0
+    while (m := _LINK[now].match(run, at)) is not None:
+        link = m[0].strip("ux#X;")
+        got = chr(int(link, 10 if now == "&" and m[0][1] not in "xX" else 16))
+        if got not in _LINK:
+            break
+        now, at, links = got, m.end(), links + 1
+    return now + run[at:] if links > DEEP else None
+
+
 def _kind(raw: bytes, at: int = 0) -> str | None:
     """The compression whose mark stands at ``at``; for zlib any head that its format allows."""
     if kind := next((k for mark, k in _MAGIC if raw.startswith(mark, at)), None):
@@ -187,15 +209,27 @@ def _inflated(raw: bytes, at: int, kind: str) -> Iterator[tuple[bytes, int]]:
             at += 1
 
 
-def _expand(raw: bytes, at: int, kind: str, limit: int) -> tuple[bytes, int]:
-    """Decompressed bytes of all members from ``at`` on, and where they end; OverflowError beyond the limit."""
+def _expand(raw: bytes, at: int, kind: str, limit: int) -> tuple[bytes | None, int]:
+    """Decompressed bytes of all members from ``at`` on, None beyond the limit, and where they end."""
     parts, size, end = [], 0, at
     for piece, end in _inflated(raw, at, kind):
-        parts.append(piece)
         size += len(piece)
-        if size > limit:
-            raise OverflowError
-    return b"".join(parts), end
+        parts.append(piece) if size <= limit else parts.clear()
+    return b"".join(parts) if size <= limit else None, end
+
+
+def _windows(raw: bytes, at: int, kind: str, limit: int) -> Iterator[bytes]:
+    """The same bytes in windows of about an eighth of the limit, each with the last quarter of the one before it."""
+    size = max(limit // 8, 64)
+    held, old = bytearray(), 0
+    for piece, _ in _inflated(raw, at, kind):
+        held += piece
+        while len(held) >= size:
+            yield bytes(held[:size])
+            old = size // 4
+            del held[: size - old]
+    if len(held) > old:
+        yield bytes(held)
 
 
 def _texts(raw: bytes) -> Iterator[tuple[list[str], str]]:
@@ -212,13 +246,17 @@ def _texts(raw: bytes) -> Iterator[tuple[list[str], str]]:
     yield from (r for r in readings if len(r[1]) > 4096 or _WORTH.search(r[1]))
 
 
-def _unwrapped(raw: bytes, starts: np.ndarray, limit: int) -> Iterator[tuple[list[str], str | None, int, int]]:
-    """(steps, text, from, to) of all readings of some bytes, through any compression; the text is None beyond the limit.
+def _unwrapped(raw: bytes, starts: np.ndarray, limit: int,
+               above: tuple = ([], None), seen: set | None = None) -> Iterator[tuple[list[str], str | None, int, int]]:
+    """(steps, text, from, to) of all readings of some bytes, through any compression.
+
+    Beyond the limit the text is None once; after that come the readings of the windows.  ``above`` has the
+    steps and the place of bytes that are such a window, ``seen`` what was read around it.
 
     Where a stream begins: at the marks that cannot stand by chance, at the front and at ``starts``.  Plain text
     can look like a zlib head, so bytes are read as they are, too.
     """
-    work, seen = [(raw, [], None)], set()
+    work, seen = [(raw, *above)], set() if seen is None else seen
     while work:
         now, steps, place = work.pop()
         digest = (hashlib.blake2b(now, digest_size=16).digest(), place)
@@ -232,13 +270,14 @@ def _unwrapped(raw: bytes, starts: np.ndarray, limit: int) -> Iterator[tuple[lis
         for at in sorted(marks):
             if at < done or (kind := _kind(now, at)) is None:
                 continue
-            try:
-                out, end = _expand(now, at, kind, limit)
-            except OverflowError:
-                yield steps + [kind], None, *(place or (at, len(now)))
-                continue
+            out, end = _expand(now, at, kind, limit)
             if out:
                 work.append((out, steps + [kind], place or (at, end)))
+            elif out is None:
+                yield steps + [kind], None, *(place or (at, end))
+                for window in _windows(now, at, kind, limit):
+                    yield from _unwrapped(window, np.empty(0, np.int64), limit, (steps + [kind], place or (at, end)), seen)
+            if out != b"":
                 done = end if kind != "zlib" or end - at > _STEP else done
 
 
@@ -328,29 +367,24 @@ def scan(text: str, limit: int = MAX_LAYER) -> list[Span]:
     """Every span of one text, in order."""
     base = base_matches(text)
     found = {(kind, a, b): Span(a, KINDS.index(kind), kind, b) for kind, a, b in base}
-    work = [_Layer(text, "")]
-    seen = {work[0].key()}
-
-    def push(layer: _Layer) -> None:
-        if (key := layer.key()) not in seen:
-            seen.add(key)
-            work.append(layer)
+    seen = set()
 
     def add(kind: str, path: str, a: int, b: int) -> None:
         if (kind, a, b) not in found:  # the same secret, seen again through a layer around it
             found[(kind, a, b)] = Span(a, len(KINDS), f"{path}/{kind}", b)
 
-    while work:
-        layer = work.pop()
-        if layer.path:
-            for kind, a, b in base_matches(layer.text):
-                add(kind, layer.path, *layer.origin(a, b))
-        if "%" in layer.text and (child := _spliced(layer, _PERCENT, _percent, "url")):
-            push(child)
-        if ("\\" in layer.text or "&#" in layer.text) and (child := _spliced(layer, _ESCAPE, _escape, "unicode")):
-            push(child)
+    def inside(layer: _Layer, at_once) -> Iterator[_Layer]:
+        """The layers that a layer holds; those of windows go to ``at_once``, so that one window is held at a time."""
+        escaped = "%" in layer.text or "\\" in layer.text or "&#" in layer.text
+        if escaped and _CHAIN.search(layer.text) and (child := _spliced(layer, _CHAIN, _chained, "deep")):
+            yield child
+        else:
+            if "%" in layer.text and (child := _spliced(layer, _PERCENT, _percent, "url")):
+                yield child
+            if ("\\" in layer.text or "&#" in layer.text) and (child := _spliced(layer, _ESCAPE, _escape, "unicode")):
+                yield child
         for first, places, letters in _fragments(layer.text):
-            run = _Run(places + first, letters)
+            run, cut = _Run(places + first, letters), False
             for shift in range(4):
                 raw, path = run.raw(shift), layer.named("base64")
                 starts = run.starts(shift)
@@ -362,14 +396,36 @@ def scan(text: str, limit: int = MAX_LAYER) -> list[Span]:
                         place = layer.origin(*run.span(0, len(run.body)))
                     if inner is None:
                         add("oversized", name.rpartition("+")[0], *place)
-                    elif steps or shift == 0 and _plain(raw):
-                        push(_Layer(inner, name, np.broadcast_to(place[0], len(inner)), np.broadcast_to(place[1], len(inner))))
+                        cut = True
+                        continue
+                    if steps or shift == 0 and _plain(raw):
+                        child = _Layer(inner, name, np.broadcast_to(place[0], len(inner)), np.broadcast_to(place[1], len(inner)))
                     else:
                         inner = raw.decode("latin-1")  # a character for each byte
                         a, b = run.clean_spans(shift, raw)
                         if layer.starts is not None:
                             a, b = layer.starts[a], layer.ends[b - 1]
-                        push(_Layer(inner, name, a, b))
+                        child = _Layer(inner, name, a, b)
+                    if cut:
+                        at_once(child)
+                    else:
+                        yield child
+
+    def fresh(layer: _Layer) -> bool:
+        size = len(seen)
+        seen.add(layer.key())
+        return len(seen) > size
+
+    def walk(top: _Layer) -> None:
+        work = [top] if fresh(top) else []
+        while work:
+            layer = work.pop()
+            if layer.path:
+                for kind, a, b in base_matches(layer.text):
+                    add(kind, layer.path, *layer.origin(a, b))
+            work += filter(fresh, inside(layer, walk))
+
+    walk(_Layer(text, ""))
     return sorted(found.values())
 
 

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import lzma
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -64,7 +65,8 @@ def test_walk_ends_and_bounds_are_told():
         deep = base64.b64encode(deep.encode()).decode()
     assert any(s.kind.count("base64") == 12 for s in secrets.scan(deep))
     bomb = base64.b64encode(gzip.compress(b"a" * 100_000)).decode()
-    assert [s.kind for s in secrets.scan(bomb, limit=1000)] == ["base64/oversized"]
+    # the letters are a hexadecimal run, seen since layers beyond the limit are read in windows
+    assert [s.kind for s in secrets.scan(bomb, limit=1000)] == ["base64+gzip/hex", "base64/oversized"]
     assert secrets.scan("%%%41 \\u00 &#99999999; &#xD800; AAAA====") == []
 
 
@@ -121,6 +123,35 @@ def test_all_compressed_heads_and_members():
     assert "base64+gzip/assign" in kinds(gzip.compress(SECRET.encode())[:-8])
 
 
+def test_deep_chains():
+    key = "41KIA" + "B" * 16
+    chains = {"%" + "25" * 50_000 + key: "deep+url", "\\" + "u005c" * 50_000 + "u00" + key: "deep+unicode", "&" + "#38;" * 50_000 + "#65;" + key[2:]:
+              "deep+unicode", "%" + "5cx25" * 40_000 + key: "deep+url", "%" + "25" * 9 + key: "deep+url", "%" + "25" * 8 + key: "+".join(["url"] * 9)}
+    for chain, path in chains.items():
+        start = time.perf_counter()
+        spans = [s for s in secrets.scan(f"see {chain} end") if s.kind.endswith("/access")]
+        assert [(s.kind, s.start, s.end) for s in spans] == [(f"{path}/access", 4, 4 + len(chain))]
+        assert time.perf_counter() - start < 4  # layer by layer it took half an hour
+    for k in range(1, 30):  # taken to the end in one step or layer by layer: the same is left
+        run = "%" + "25" * k
+        assert secrets._chained(run) == ("%" if k > secrets.DEEP else None)
+    assert secrets._chained("%" + "25" * 9 + "x25") == "%x25" and secrets._chained("%" + "25" * 3 + "x25" * 9) is None
+
+
+def test_layers_beyond_the_limit_are_read_in_windows():
+    rng = seeded(9)
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        for before in (0, 900, 1100, 1499, 1500, 1510, 5000, 12_345):
+            raw = b" ".join(b"%d" % rng.randrange(9) for _ in range(before // 2)) + b" " + SECRET.encode() + b" " + b"z " * 6000
+            inner = b"y " * before + base64.b64encode(SECRET.encode()) + b" y" * 6000
+            for blob, path in ((raw, ""), (inner, "base64")):
+                text = "see " + base64.b64encode(pack(blob)).decode()
+                spans = secrets.scan(text, limit=4000)
+                kinds = {s.kind for s in spans}
+                assert any(k.endswith("/oversized") for k in kinds) and any(k.endswith("/assign") and path in k for k in kinds), (pack, before)
+                assert all(s.start == 4 for s in spans)
+
+
 def test_layers_that_are_not_utf8():
     rng = seeded(5)
     noise = lambda n: rng.randbytes(n)
