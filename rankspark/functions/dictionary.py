@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shape import lookup_join, rows_at_most
 from . import fixed
 from .text import find_all, let, nonblank, nonempty, quote_phrase, tokenize, trim_space, words_array
 
@@ -265,13 +266,14 @@ def extract_by_table(
     """``extract_skills`` with the forms (form, canonical, ord) as a table: nothing of them is in the plan.
 
     The grams of the texts meet the forms' in an equi-join; only the forms met go back to their text,
-    where the same fold decides.  Rows with one key share their candidates, which changes nothing
-    for any of them; rows without a key have no mentions.
+    where the same fold decides.  Counted, few forms travel to the grams, which are then not shuffled;
+    the grams, a multiple of the texts, are never broadcast.  Rows with one key share their
+    candidates, which changes nothing for any of them; rows without a key have no mentions.
     """
     table = form_table(forms)
-    grams = rows.select(F.col(key).alias("_key"), F.explode(_grams(F.col(text))).alias("gram")).distinct()
-    met = grams.join(table, "gram").groupBy("_key").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "canonical", "pattern"))).alias("_forms"))
+    grams = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.explode(_grams(F.col(text))).alias("gram"))
+    met = lookup_join(grams, table, ["gram"], rows_at_most(forms), spread_by="_key").groupBy("_key").agg(
+        F.array_sort(F.collect_set(F.struct("rank", "canonical", "pattern"))).alias("_forms"))
     none = F.array().cast("array<struct<rank:struct<shorter:int,ord:bigint>,canonical:string,pattern:string>>")
     joined = rows.join(met, F.col(key) == F.col("_key"), "left").drop("_key")
     found = _accepted(F.col(text), F.coalesce("_forms", none), max_skills)

@@ -52,7 +52,8 @@ def lookup_join(
         salts = max(LEAST_SALTS, int(partitions))
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    # The engine may guess the big side from the files it comes from and broadcast it; it is never to.
+    return salted.hint("merge").join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def scope_of(frame: DataFrame, key: str) -> Column:

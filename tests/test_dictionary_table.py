@@ -41,3 +41,16 @@ def test_no_forms(spark):
     texts = spark.createDataFrame([(1, "anything")], "id long, text string")
     empty = spark.createDataFrame([], "form string, canonical string, ord int")
     assert extract_by_table(texts, empty).first()["mentions"] == []
+
+
+def test_grams_are_never_broadcast(spark, tmp_path):
+    """Texts whose files look small to the planner beside forms whose size it does not know."""
+    spark.range(50).selectExpr("id", "'react native and both' as text").write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))
+    found = extract_by_table(texts, ODD.form_frame(spark))
+    assert {tuple(m.canonical for m in r.mentions) for r in found.collect()} == {("react", "shared")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [gram" in plan and "BuildRight" in plan and "BuildLeft" not in plan and "hashpartitioning(gram" not in plan
+    many = spark.range(60_000).selectExpr("concat('react', id) as form", "'x' as canonical", "cast(id as int) as ord")
+    plan = extract_by_table(texts, many)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan
