@@ -30,6 +30,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return frame.repartition(cores) if heavy and len(frame.inputFiles()) < cores else frame
 
 
+def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as a stream, whether it is one file or a folder of files.
+
+    A stream's source takes a folder or a pattern, no single file: the pattern here names the table alone.
+    """
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/[{name[0]}]{name[1:]}.parquet")
+
+
 def flat(frame: DataFrame) -> DataFrame:
     """Integers as bigint, floats as double, string arrays joined - comparable with any engine."""
     out = []

@@ -189,8 +189,7 @@ def stream_event_windows(spark, d):
 
     Windows older than the watermark leave the state, so that it does not grow with the stream.
     """
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    events = c.stream(spark, d, "events")
     path = scratch_dir(spark)
     out = os.path.join(path, "windows")
     running = (
@@ -223,9 +222,7 @@ def stream_ingest(spark, d):
 
 
 def _ingested(spark, d):
-    schema = spark.read.parquet(f"{d}/documents.parquet").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    texts = c.stream(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     path = scratch_dir(spark)
     jobs.ingest_stream(
         texts, f"{path}/out", f"{path}/checkpoint", c.PROSE,
