@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from rankspark.functions import fixed
+from rankspark.functions.text import round_half
 from rankspark.operators import filters, rerank
 from rankspark.operators.shape import top_k
 from rankspark.plans.search import as_profiles
@@ -148,7 +149,7 @@ def years_fit(spark, d):
         "id", "years", "case when id % 3 = 0 then null else double(id % 12) end as lo",
         "case when id % 4 = 0 then null else double(id % 12 + 5) end as hi")
     args = (F.col("years"), F.col("lo"), F.col("hi"))
-    return rows.select("id", F.round(rerank.years_fit(*args), 4).alias("fit"),
+    return rows.select("id", round_half(rerank.years_fit(*args), 4).alias("fit"),
                        rerank.years_note(*args).alias("note"))
 
 
