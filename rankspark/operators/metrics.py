@@ -102,8 +102,16 @@ def evaluate_rankings(
 
 
 def compare_strategies(per_query: DataFrame) -> DataFrame:
-    """(strategy, metric, value, is_best): means over queries, and the best value per metric."""
-    means = per_query.groupBy("strategy").agg(*[F.round(F.avg(m), 4).alias(m) for m in METRICS])
+    """(strategy, metric, value, is_best): means over queries, and the best value per metric.
+
+    The metrics have four digits, so their sums are exact in units of the last one: a mean at a rounding
+    half is rounded up whatever the order of the rows.
+    """
+    def mean(metric: str) -> Column:
+        units = F.sum(F.round(F.col(metric) * 10_000).cast("bigint"))
+        return F.floor((2 * units + F.count(metric)) / (2 * F.count(metric))) / F.lit(10_000.0)
+
+    means = per_query.groupBy("strategy").agg(*[mean(m).alias(m) for m in METRICS])
     long = means.unpivot("strategy", list(METRICS), "metric", "value")
     best = F.max("value").over(Window.partitionBy("metric"))
     return long.withColumn("is_best", F.col("value") == best)

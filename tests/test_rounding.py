@@ -12,3 +12,12 @@ def test_a_fit_at_a_half_is_rounded_up(spark):
     assert row.select(round_half(fit, 4)).first()[0] == 0.4188
     rows = spark.createDataFrame([(0.123456,), (None,), (0.0,), (1.0,)], "v double").select(round_half(F.col("v"), 4))
     assert [r[0] for r in rows.collect()] == [0.1235, None, 0.0, 1.0]
+
+
+def test_a_mean_at_a_half_is_rounded_up(spark):
+    """The exact mean is 0.62075; summed as doubles in this order it lies below that."""
+    values = (0.5789, 0.7523, 0.4412, 0.8979, 0.9977, 0.0094, 0.6287, 0.8397, 0.2118, 0.8499)
+    for order in (values, values[::-1], sorted(values)):
+        rows = [("s", q, v, v, v, v) for q, v in enumerate(order)]
+        frame = spark.createDataFrame(rows, "strategy string, query_id int, precision_at_k double, recall_at_k double, mrr double, ndcg_at_k double").coalesce(1)
+        assert {r.value for r in metrics.compare_strategies(frame).collect()} == {0.6208}
