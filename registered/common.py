@@ -26,7 +26,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """
     frame = spark.read.parquet(f"{folder}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    heavy = name in ("documents", "pages", "conversations", "embeddings", "lineitem")
+    heavy = name in ("customer", "documents", "pages", "conversations", "embeddings", "lineitem")
     return frame.repartition(cores) if heavy and len(frame.inputFiles()) < cores else frame
 
 
