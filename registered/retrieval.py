@@ -8,7 +8,7 @@ from rankspark.plans.index import LexicalIndex
 from rankspark.plans.search import as_profiles
 from rankspark.plans.segments import SegmentedIndex
 from rankspark.plans.vector_index import VectorIndex, recall
-from rankspark.session import scratch_dir
+from rankspark.session import scratch_dir, written
 
 from . import common as c
 
@@ -264,10 +264,10 @@ def hash_embed(spark, d):
 
 # --- fusion -----------------------------------------------------------------------------
 def two_rankings(spark, d):
-    queries, docs = bench_terms(spark, d), documents(spark, d)
+    queries, docs = bench_terms(spark, d), written(documents(spark, d))  # tokenised once, for three passes
     columns = ["query_id", "retriever", "id", "rank", "score"]
     one = lexical.bm25(queries, docs).withColumn("retriever", F.lit("bm25"))
-    two = lexical.or_rank(queries, docs).withColumn("retriever", F.lit("or"))
+    two = lexical.or_rank(queries, docs, matrix=True).withColumn("retriever", F.lit("or"))
     return one.select(*columns).unionByName(two.select(*columns))
 
 
