@@ -78,5 +78,5 @@ def late_join(ids: DataFrame, big: DataFrame, on: str) -> DataFrame:
     """Fetch the rows of ``big`` named by ``ids``, which are counted: few of them travel to ``big``, which is then
     not shuffled.  The engine guesses sizes from files and may take ``big`` for small; it is never broadcast."""
     if rows_at_most(ids):
-        return F.broadcast(ids).join(big, on)
-    return ids.join(big.hint("merge"), on)
+        return big.join(F.broadcast(ids), on)
+    return big.hint("merge").join(ids, on)

@@ -26,10 +26,13 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..operators import vector
 from ..operators.shape import late_join, top_k
+from ..session import written
 
 # Most cells (folders) of an index, and the vectors aimed at in one file.
 MOST_CELLS, FILE_VECTORS = 4096, 500_000
 SAMPLE_ROWS, TUNE_QUERIES, TUNE_DEPTH, QUANTILE = 16_384, 64, 10, 0.98
+# Codes that meet a block of queries at most, hits that a block may hold, and scores that a task makes at once.
+BLOCK_CODES, BLOCK_HITS, TILE_CELLS = 262_144, 1_000_000, 1_000_000
 LEVELS = (-1.5, -0.5, 0.5, 1.5)  # what the two bits stand for, in standard deviations
 
 
@@ -84,6 +87,64 @@ def code_reader(dims: int):
     return read
 
 
+def best_codes(dims: int, n_cells: int, k: int, digits: int = vector.SIMILARITY_DIGITS):
+    """The comparison of a block of queries with a block of codes: the best k codes of each query in its cells."""
+    read, tile_cells = code_reader(dims), TILE_CELLS
+
+    def meet(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        def unit(rows):
+            norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+            norms[norms == 0] = 1.0
+            return rows / norms[:, None]
+
+        def column(table, name):
+            return table.column(name).combine_chunks()
+
+        def cut():
+            at, ids, score = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((ids, -score, at))
+            at, ids, score = at[order], ids[order], score[order]
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            last, keep = place == k - 1, place < k
+            least[at[last]] = score[last]
+            return at[keep], ids[keep], score[keep]
+
+        n = left.num_rows
+        least, size = np.full(n, -np.inf), 0
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        names = np.zeros(0, np.int64)
+        if n and right.num_rows:
+            names, lists = column(left, "query_id").to_numpy(), column(left, "cells")
+            wanted = unit(column(left, "embedding").flatten().to_numpy(zero_copy_only=False).reshape(n, dims))
+            asks = np.zeros((n, n_cells), bool)
+            asks[np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
+            ids, codes, cell = column(right, "id").to_numpy(), column(right, "code"), column(right, "cell").to_numpy()
+            order = np.argsort(cell, kind="stable")
+            kinds, starts = np.unique(cell[order], return_index=True)
+            for kind, start, stop in zip(kinds, starts, [*starts[1:], len(cell)], strict=True):
+                asking = np.flatnonzero(asks[:, kind])
+                step = max(1, tile_cells // max(1, len(asking)))
+                for first in range(start, stop if len(asking) else start, step):
+                    place = order[first:min(first + step, stop)]
+                    scores = wanted[asking] @ unit(read(codes.take(pa.array(place)))).T
+                    # scores are compared when rounded
+                    at, near = np.nonzero(scores >= least[asking, None] - 10.0 ** -digits)
+                    score, at, near = np.round(scores[at, near], digits) + 0.0, asking[at], ids[place[near]]
+                    keep = score >= least[at]
+                    held.append((at[keep], near[keep], score[keep]))
+                    size += int(keep.sum())
+                    if size > 3 * k * n:
+                        held = [cut()]
+                        size = len(held[0][0])
+        at, near, score = cut()
+        return pa.Table.from_arrays([pa.array(names[at]), pa.array(near), pa.array(score)], ["query_id", "id", "score"])
+
+    return meet
+
+
 def _vectors(pool: DataFrame, key: str, dims: int | None = None) -> DataFrame:
     """Rows whose vector is complete, finite and not zero (of ``dims`` components, if given)."""
     value = F.col("embedding").cast("array<double>")
@@ -123,6 +184,7 @@ class VectorIndex:
         centroids = fit_centroids(sample, cells)
         scale = float(sample.std()) or 1.0
         sent = spark.sparkContext.broadcast(centroids)
+        step = max(1, TILE_CELLS // len(centroids))
 
         def assign(batches):
             import pyarrow as pa
@@ -131,7 +193,8 @@ class VectorIndex:
                 if not batch.num_rows:
                     continue
                 rows = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-                cell = (_unit(rows) @ sent.value.T).argmax(axis=1).astype("int32")
+                cell = np.concatenate([
+                    (_unit(rows[at:at + step]) @ sent.value.T).argmax(axis=1) for at in range(0, len(rows), step)]).astype("int32")
                 codes = [c.tobytes() for c in encode(rows, scale)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cell), batch.column("id"), pa.array(codes, pa.binary()), batch.column("embedding")],
@@ -164,36 +227,46 @@ class VectorIndex:
             spark.read.parquet(f"{path}/settings").first().asDict())
 
     def probed(self, queries: DataFrame, probes: int) -> DataFrame:
-        """query_id, cell, place (from 1), embedding: the nearest cells of each query."""
+        """query_id, cells (nearest first), embedding: one row for each query."""
         import numpy as np
 
         sent = queries.sparkSession.sparkContext.broadcast(np.array(self.centroids))
-        dims = self.settings["dims"]
+        dims, step = self.settings["dims"], max(1, TILE_CELLS // len(self.centroids))
 
         def nearest(batches):
             import pyarrow as pa
 
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                rows = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-                order = np.argsort(-(rows @ sent.value.T), axis=1, kind="stable")[:, :probes].astype("int32")
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("query_id"), pa.array(list(order), pa.list_(pa.int32())), batch.column("embedding")],
-                    ["query_id", "cells", "embedding"])
-
-        found = _vectors(queries, "query_id", dims).mapInArrow(
+                for start in range(0, batch.num_rows, step):
+                    part = batch.slice(start, step)
+                    rows = part.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+                    order = np.argsort(-(rows @ sent.value.T), axis=1, kind="stable")[:, :probes].astype("int32")
+                    ends = np.arange(len(order) + 1, dtype="int32") * order.shape[1]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("query_id"), pa.ListArray.from_arrays(ends, pa.array(order.ravel())), part.column("embedding")],
+                        ["query_id", "cells", "embedding"])
+
+        return _vectors(queries, "query_id", dims).mapInArrow(
             nearest, "query_id bigint, cells array<int>, embedding array<double>")
-        return found.select(
-            "query_id", "embedding", F.posexplode("cells").alias("at", "cell")
-        ).select("query_id", "cell", (F.col("at") + 1).alias("place"), "embedding")
 
     def _candidates(self, asked: DataFrame, codes: DataFrame, rerank: int) -> DataFrame:
-        """query_id, id, rank: the best codes of the cells asked, each cell a scope of the comparison."""
-        scope = F.col("cell").cast("string")
-        wanted = asked.select(scope.alias("scope"), "query_id", "embedding")
-        coded = codes.select(scope.alias("scope"), "id", F.col("code").alias("embedding"))
-        hits = vector.scoped_topk(wanted, coded, rerank, read_pool=code_reader(self.settings["dims"]))
+        """query_id, id, rank: the best codes of the cells asked.
+
+        Blocks of queries meet blocks of codes.  A block keeps a query's best over all its cells, so neither
+        what a task holds nor what it returns grows with the number of cells or their size.
+        """
+        n, cores = self.settings["n_vectors"], asked.sparkSession.sparkContext.defaultParallelism
+        code_blocks = math.ceil(n / BLOCK_CODES)
+        query_blocks = max(math.ceil(asked.count() * min(rerank, n) / BLOCK_HITS), math.ceil(2 * cores / code_blocks))
+
+        def dealt(frame, key, own, of, other, others):
+            return frame.withColumn(own, F.pmod(F.xxhash64(key), F.lit(of)).cast("int")).withColumn(
+                other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).groupBy("qb", "cb")
+
+        wanted = dealt(asked.select("query_id", "embedding", "cells"), "query_id", "qb", query_blocks, "cb", code_blocks)
+        coded = dealt(codes.select("id", "code", "cell"), "id", "cb", code_blocks, "qb", query_blocks)
+        meet = best_codes(self.settings["dims"], len(self.centroids), rerank)
+        hits = wanted.cogroup(coded).applyInArrow(meet, vector.HIT_TYPE)
         return top_k(hits, ["query_id"], [F.desc("score"), F.asc("id")], rerank)
 
     def search(
@@ -202,13 +275,13 @@ class VectorIndex:
         """Nearest vectors found: query_id, id, rank, score.  Folders of cells that no query asks are not read."""
         probes = probes or self.settings["probes"]
         rerank = max(k, rerank or self.settings["rerank"])
-        asked = self.probed(queries, probes)
-        cells = [r["cell"] for r in asked.select("cell").distinct().collect()]  # at most MOST_CELLS
+        asked = written(self.probed(queries, probes))
+        cells = [r["cell"] for r in asked.select(F.explode("cells").alias("cell")).distinct().collect()]  # at most MOST_CELLS
         here = F.col("cell").isin(cells)
-        best = self._candidates(asked, self.codes.where(here), rerank)
-        own = _vectors(queries, "query_id", self.settings["dims"]).withColumnRenamed("embedding", "wanted")
+        best = written(self._candidates(asked, self.codes.where(here), rerank).select("query_id", "id"))
+        own = asked.select("query_id", F.col("embedding").alias("wanted"))
         full = self.vectors.where(here).select("id", "embedding")
-        rows = late_join(best.select("query_id", "id"), full, "id").join(own, "query_id")
+        rows = late_join(best, full, "id").join(own, "query_id")
         exact = F.round(vector.cosine(F.col("wanted"), F.col("embedding")), vector.SIMILARITY_DIGITS)
         ranked = top_k(rows.select("query_id", "id", exact.alias("score")), ["query_id"], [F.desc("score"), F.asc("id")], k)
         return ranked.select("query_id", "id", "rank", "score")
@@ -221,7 +294,7 @@ class VectorIndex:
         import numpy as np
 
         asked = {r["query_id"]: r["embedding"] for r in queries.collect()}  # at most tune_queries
-        exact = vector.vector_topk(queries, self.vectors.select("id", "embedding"), depth).select("query_id", "id")
+        exact = written(vector.vector_topk(queries, self.vectors.select("id", "embedding"), depth).select("query_id", "id"))
         rows = late_join(exact, self.codes, "id").collect()  # at most tune_queries * depth
         ids = sorted(asked)
         wanted = _unit(np.array([asked[q] for q in ids], dtype=np.float64))
@@ -239,11 +312,13 @@ class VectorIndex:
 
         own = np.einsum("ij,ij->i", wanted[at], _unit(read(pa.array([r["code"] for r in rows], pa.binary()))))
 
+        step = max(1, TILE_CELLS // max(1, len(own)))
+
         def count(batches):
             above = np.zeros(len(own), np.int64)
             for batch in batches:
-                if batch.num_rows:
-                    near = scores(read(batch.column("code")))
+                for start in range(0, batch.num_rows, step):
+                    near = scores(read(batch.column("code").slice(start, step)))
                     above += (near[at] > own[:, None] + 1e-12).sum(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(own))), pa.array(above)], ["hit", "above"])

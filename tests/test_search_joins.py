@@ -30,4 +30,4 @@ def test_late_join_sends_few_ids_and_never_the_rows(spark, tmp_path):
     many = late_join(spark.range(60_000).withColumn("id", F.col("id") % 100), big, "id")
     assert "BroadcastHashJoin" not in _plan(many) and many.count() == 60_000
     few = late_join(spark.range(3).withColumn("rank", F.lit(1)), big, "id")
-    assert "BuildLeft" in _plan(few) and few.count() == 3
+    assert "BuildRight" in _plan(few) and few.count() == 3

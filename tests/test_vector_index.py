@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from rankspark.operators import vector
-from rankspark.plans.vector_index import VectorIndex, code_reader, encode, fit_centroids, recall
+from rankspark.plans.vector_index import VectorIndex, best_codes, code_reader, encode, fit_centroids, recall
 
 SCHEMA = "id bigint, embedding array<double>, cell string, code string"
 
@@ -76,3 +76,22 @@ def test_codes_and_centroids():
     assert (near == np.arange(50)).mean() > 0.9
     copies = np.tile(rows[:1], (30, 1))
     assert fit_centroids(copies, 8).shape == (8, 7)
+
+
+def test_a_block_keeps_the_best_of_all_cells():
+    """A block of many cells returns k hits for each query, not k for each cell, and those of its own cells alone."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows, cells = rng.normal(size=(400, 8)), np.arange(400) % 40
+    codes = encode(rows, 0.35)
+    left = pa.table({"query_id": [7, 9], "embedding": rows[:2].tolist(), "cells": [list(range(40)), [3, 4]]})
+    right = pa.table({"id": np.arange(400), "code": [c.tobytes() for c in codes], "cell": pa.array(cells, pa.int32())})
+    got = best_codes(8, 40, 5)(left, right).to_pylist()
+    level = code_reader(8)(right.column("code").combine_chunks())
+    score = np.round((rows[:2] / np.linalg.norm(rows[:2], axis=1)[:, None]) @ (level / np.linalg.norm(level, axis=1)[:, None]).T, 6)
+    want = []
+    for k, (name, mine) in enumerate(((7, range(40)), (9, (3, 4)))):
+        order = sorted((-score[k, i], i) for i in range(400) if cells[i] in mine)[:5]
+        want += [(name, i) for _, i in order]
+    assert [(r["query_id"], r["id"]) for r in got] == want
