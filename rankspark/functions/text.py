@@ -5,6 +5,7 @@ All of these are expressions, so they run inside the scan stage: no shuffle, no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -157,13 +158,17 @@ def round_half(value: Column, digits: int) -> Column:
 
 
 def fmt_number(value: Column) -> Column:
-    """A number with six significant digits and no trailing zeros: 5, 7.5, 1863.84."""
+    """A number with six significant digits and no trailing zeros: 5, 7.5, 1863.84; -0, inf and nan as C prints them."""
     size = F.abs(value)
     rounded = F.round(value, 0)
     for limit, digits in ((100000, 1), (10000, 2), (1000, 3), (100, 4), (10, 5), (1, 6)):
         rounded = F.when(size < limit, F.round(value, digits)).otherwise(rounded)
     text = F.format_string("%.6f", rounded)
-    return F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
+    plain = F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
+    return (
+        F.when(F.isnan(value), "nan").when(value == math.inf, "inf").when(value == -math.inf, "-inf")
+        .when((value == 0) & F.startswith(value.cast("string"), F.lit("-")), "-0").otherwise(plain)
+    )
 
 
 def remove_phrases(text: Column, phrases: Column, bounded: bool = True) -> Column:

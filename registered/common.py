@@ -194,7 +194,9 @@ def people(spark: SparkSession, folder: str) -> DataFrame:
         f"{spark_pick(HEADLINES, 'c_custkey')} as headline",
         f"case when c_custkey % 9 = 0 then null else {spark_pick(LEVELS, 'c_custkey')} end "
         "as seniority",
-        "case when c_acctbal < 0 then null else round(c_acctbal / 250, 1) end as years",
+        # scaled, rounded and scaled back, as the SQL rounds a double; a balance of -0.0 keeps its sign
+        "case when c_acctbal < 0 then null when c_acctbal = 0 then c_acctbal "
+        "else round(c_acctbal / 250 * 10D) / 10D end as years",
         "n_name as city", "'COUNTRY_' || (n_nationkey % 7) as country", "r_name as region",
         "c_mktsegment as industry",
     )
