@@ -8,10 +8,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.dictionary import SkillDictionary
 from ..operators.embedding import Embedder
-from ..plans.ingest import accepted, parse_profiles, rejects
+from ..operators.shape import rows_at_most
+from ..plans.ingest import accepted, parse_profiles, profile_texts, rejects
+from ..session import written
 from ..sources.keyed import KeyedTable
 
 HASHES = "content_hash string, batch bigint, id string"
+# Row numbers (longs) that may be sent to every task.
+SENT_NUMBERS = 1_000_000
+STORED = {"compression": "zstd"}
 
 
 def ingest_stream(
@@ -32,19 +37,23 @@ def ingest_stream(
     def write(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         parsed_path = f"{path}/parsed/batch={number}"
-        parse_profiles(batch, dictionary).write.mode("overwrite").parquet(parsed_path)
+        # the two texts repeat the resume: they are made again where profiles are written
+        columns = parse_profiles(batch, dictionary).columns
+        staged = parse_profiles(batch, dictionary).drop("text", "embedding_text").withColumn("_row", F.monotonically_increasing_id())
+        staged.write.mode("overwrite").options(**STORED).parquet(parsed_path)
         parsed = session.read.parquet(parsed_path)
         hashes = KeyedTable(session, f"{path}/hashes", HASHES, "content_hash")
-        good = first_of_content(accepted(parsed))
+        good = accepted(parsed)
         # a batch that is repeated finds its own hashes: only those of others are known
         known = hashes.lookup(good).where(F.col("batch") != number).select("content_hash")
-        good = good.join(known, "content_hash", "left_anti")
+        first = written(first_of_content(good.select("content_hash", "id", "_row")).join(known, "content_hash", "left_anti"))
         profiles_path = f"{path}/profiles/batch={number}"
-        good.drop("reject_reason").write.mode("overwrite").parquet(profiles_path)
+        chosen = rows_of(good, first).withColumns(profile_texts()).select(*[c for c in columns if c != "reject_reason"])
+        chosen.write.mode("overwrite").options(**STORED).parquet(profiles_path)
         fresh = session.read.parquet(profiles_path)
-        hashes.upsert(fresh.select("content_hash", F.lit(number).cast("bigint").alias("batch"), F.col("id").cast("string").alias("id")))
+        hashes.upsert(first.select("content_hash", F.lit(number).cast("bigint").alias("batch"), F.col("id").cast("string").alias("id")))
         vectors = embedder(fresh.select("id", F.col("embedding_text").alias("text")))
-        vectors.withColumn("model", F.lit(model)).write.mode("overwrite").parquet(
+        vectors.withColumn("model", F.lit(model)).write.mode("overwrite").options(**STORED).parquet(
             f"{path}/vectors/batch={number}"
         )
         rejects(parsed).write.mode("overwrite").parquet(f"{path}/rejects/batch={number}")
@@ -57,11 +66,18 @@ def ingest_stream(
     )
 
 
-def first_of_content(profiles: DataFrame) -> DataFrame:
-    """Of the rows with one content hash the one with the smallest id, by a combining aggregate."""
-    row = F.struct(*[F.col(c) for c in profiles.columns])
-    picked = profiles.groupBy("content_hash").agg(F.min_by(row, F.struct("id", "content_hash")).alias("_row"))
-    return picked.select("_row.*")
+def first_of_content(rows: DataFrame) -> DataFrame:
+    """content_hash, id, _row: of the rows with one content hash the one with the smallest id, by a combining aggregate."""
+    picked = rows.groupBy("content_hash").agg(F.min(F.struct("id", "_row")).alias("first"))
+    return picked.select("content_hash", "first.*")
+
+
+def rows_of(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows whose ``_row`` is among the chosen.  Mostly few are not: these are sent, and no row is shuffled."""
+    others = written(rows.select("_row").join(chosen.select("_row"), "_row", "left_anti"))
+    if rows_at_most(others, SENT_NUMBERS):
+        return rows.join(F.broadcast(others), "_row", "left_anti")
+    return rows.hint("merge").join(chosen.select("_row"), "_row", "left_semi")
 
 
 def event_windows(
